@@ -21,7 +21,7 @@ from loomcast.operators.skew import salted_join
 from loomcast.session import materialise
 
 #: Locations in a leaf, about; a leaf is one task of known size, however dense the place.
-LEAF_POINTS = 100_000
+LEAF_POINTS = 50_000
 #: Locations sampled to place the cuts; the sample's size doesn't grow with the data.
 SAMPLE_POINTS = 100_000
 #: Regions' triangles up to this count are sent to every task (72 bytes each, 18 MB at most).
@@ -188,10 +188,13 @@ class Cuts:
         return box, node - len(self.at)
 
 
-def _cuts(points: DataFrame, n: int) -> Cuts:
+def _cuts(points: DataFrame, n: int, most: int) -> Cuts:
+    """Cuts for ``n`` points of which at most ``most`` meet at once; without a sample where one leaf will do."""
+    if most <= LEAF_POINTS:
+        return Cuts(np.empty(0), np.empty(0), 1)
     sample = points if n <= SAMPLE_POINTS else points.sample(min(1.0, 0.9 * SAMPLE_POINTS / n), seed=7)
-    rows = sample.select("x", "y").limit(SAMPLE_POINTS).toPandas()
-    return Cuts(rows["x"].to_numpy(), rows["y"].to_numpy(), math.ceil(n / LEAF_POINTS))
+    rows = sample.select("x", "y").limit(SAMPLE_POINTS).toPandas().drop_duplicates()
+    return Cuts(rows["x"].to_numpy(), rows["y"].to_numpy(), math.ceil(most / LEAF_POINTS))
 
 
 # --- region of each point --------------------------------------------------------
@@ -225,7 +228,8 @@ def region_of_points(points: DataFrame, regions: DataFrame, x: str = "x", y: str
         return points.withColumn(out, holder(F.col(x).cast("double"), F.col(y).cast("double")))
     finite = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf"))
     places = materialise(points.where(finite(x) & finite(y)).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.lit(1).alias("one")).select("x", "y"))
-    cuts = _cuts(places, places.count())
+    n = places.count()
+    cuts = _cuts(places, n, n)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -293,21 +297,23 @@ def great_circle_m(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: n
     return 2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(a)))
 
 
-_PAIR = "lat_a double, lon_a double, lat_b double, lon_b double"
+_PAIR = "lat_a double, lon_a double, day_a int, lat_b double, lon_b double, day_b int"
 
 
-def near_locations(places: DataFrame, metres: float, *, radius: float = EARTH_RADIUS_M) -> DataFrame:
-    """Ordered pairs ``lat_a, lon_a, lat_b, lon_b`` of different locations at most ``metres`` apart on a sphere.
+def near_sites(sites: DataFrame, metres: float, days: int, *, radius: float = EARTH_RADIUS_M) -> DataFrame:
+    """Pairs ``lat_a, lon_a, day_a, lat_b, lon_b, day_b`` at most ``metres`` (on a sphere) and ``days`` apart, (lat_a, lon_a) < (lat_b, lon_b).
 
-    ``places``: distinct finite ``lat`` (-90..90), ``lon`` (-180..180). Each pair occurs in both orders. Circles that
-    cross the date line or hold a pole are covered. Fewer than two locations give no pairs.
+    ``sites``: distinct finite ``lat`` (-90..90), ``lon`` (-180..180) and ``day`` int. Each pair occurs once; sites at one
+    location are no pair. Circles that cross the date line or hold a pole are covered. Besides place, tasks are split by
+    periods of days, so a location of any age brings a bounded number of sites to a task. Empty input gives no pairs.
     """
-    places = materialise(places.select("lat", "lon"))
-    cuts = _cuts(places.select(F.col("lon").alias("x"), F.col("lat").alias("y")), places.count())
+    period = max(20, 4 * (2 * days + 1))
+    most = sites.groupBy(F.floor(F.col("day") / F.lit(period)).alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+    cuts = _cuts(sites.select(F.col("lon").alias("x"), F.col("lat").alias("y")), most["n"] or 0, most["most"] or 0)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            lat, lon = b["lat"].to_numpy(), b["lon"].to_numpy()
+            lat, lon, day = b["lat"].to_numpy(), b["lon"].to_numpy(), b["day"].to_numpy(np.int64)
             w, s, e, n = _enclosing(lat, lon, metres, radius)
             row, leaf = cuts.leaves_of_boxes(lon, lat, lon, lat)
             home = np.empty(len(lat), np.int64)
@@ -318,43 +324,53 @@ def near_locations(places: DataFrame, metres: float, *, radius: float = EARTH_RA
                 box, leaf = cuts.leaves_of_boxes(w[at] + turn, s[at], e[at] + turn, n[at])
                 rows.append(at[box]), leaves.append(leaf), shifts.append(np.full(len(box), turn))
             row, leaf, shift = np.concatenate(rows), np.concatenate(leaves), np.concatenate(shifts)
-            yield pd.DataFrame({"leaf": leaf, "lat": lat[row], "lon": lon[row], "shift": shift, "home": (leaf == home[row]) & (shift == 0)})
+            own, first, last = day // period, (day - days) // period, (day + days) // period
+            for k in range(int((last - first).max()) + 1 if len(day) else 0):
+                at = np.flatnonzero(first[row] + k <= last[row])
+                r, p = row[at], first[row[at]] + k
+                yield pd.DataFrame({"leaf": leaf[at], "period": p, "lat": lat[r], "lon": lon[r], "day": day[r], "shift": shift[at], "home": (leaf[at] == home[r]) & (shift[at] == 0) & (p == own[r])})
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
-        lat, lon, home = part["lat"].to_numpy(), part["lon"].to_numpy(), part["home"].to_numpy()
+        lat, lon, day, home, shift = (part[c].to_numpy() for c in ("lat", "lon", "day", "home", "shift"))
         w, s, e, n = _enclosing(lat, lon, metres, radius)
-        shift = part["shift"].to_numpy()
         tree = Hierarchy(_box_triangles(w + shift, s, e + shift, n))
         at = np.flatnonzero(home)
-        found = [np.empty((0, 4))]
+        found = [np.empty(0, np.int64)]
         for p, t in tree.stab(lon[at], lat[at]):
             b, a = at[p], t // len(_UNIT)
-            ok = ((lat[a] != lat[b]) | (lon[a] != lon[b])) & (great_circle_m(lat[a], lon[a], lat[b], lon[b], radius) <= metres)
+            ok = ((lat[a] < lat[b]) | ((lat[a] == lat[b]) & (lon[a] < lon[b]))) & (np.abs(day[a] - day[b]) <= days)
+            a, b = a[ok], b[ok]
+            ok = great_circle_m(lat[a], lon[a], lat[b], lon[b], radius) <= metres
             # a point on the edge that two triangles of one polygon share belongs to it once
-            a, b = np.divmod(np.unique(a[ok] * len(lat) + b[ok]), len(lat))
-            found.append(np.column_stack([lat[a], lon[a], lat[b], lon[b]]))
-        out = pd.DataFrame(np.concatenate(found), columns=["lat_a", "lon_a", "lat_b", "lon_b"])
+            found.append(np.unique(a[ok] * len(lat) + b[ok]))
+        a, b = np.divmod(np.concatenate(found), max(1, len(lat)))
+        out = pd.DataFrame({"lat_a": lat[a], "lon_a": lon[a], "day_a": day[a], "lat_b": lat[b], "lon_b": lon[b], "day_b": day[b]})
         return out.drop_duplicates() if shift.any() else out
 
-    return places.mapInPandas(spread, "leaf long, lat double, lon double, shift double, home boolean").groupBy("leaf").applyInPandas(meet, _PAIR)
+    placed = sites.select("lat", "lon", "day").mapInPandas(spread, "leaf int, period int, lat double, lon double, day int, shift double, home boolean")
+    return placed.groupBy("leaf", "period").applyInPandas(meet, _PAIR)
 
 
 def close_pairs(events: DataFrame, metres: float, days: int, *, id_col: str = "event_id", lat: str = "lat", lon: str = "lon", day: str = "t", radius: float = EARTH_RADIUS_M) -> DataFrame:
     """Pairs ``{id}_a < {id}_b`` of different events at different coordinates, at most ``metres`` and ``days`` apart.
 
-    Left out: rows without id or day, and positions that are null, NaN or out of range. Rows repeated under one id count
-    once (of rows that disagree, the least of each column holds). Events at identical coordinates are no pair. Locations
-    are paired first, each once however many events it has; events then join their location and day, spread by salt.
+    Left out: rows without id or day, and positions that are null, NaN or out of range. Repeated rows count once; should
+    rows of one id disagree, it is at each of its positions, and a pair still comes once. Events at identical
+    coordinates are no pair. Distinct sites (place and day) are paired first, however many events they hold; only
+    events at a paired site are then joined to the pairs, a hot site's spread by salt.
     """
     good = events.where(F.col(id_col).isNotNull() & F.col(day).isNotNull() & F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180))
-    once = good.groupBy(F.col(id_col).alias("id")).agg(F.min(lat).alias("lat"), F.min(lon).alias("lon"), F.min(day).alias("day"))
-    once = materialise(once.select("id", F.expr("lat + 0D").alias("lat"), F.expr("lon + 0D").alias("lon"), "day"))
-    pairs = near_locations(once.groupBy("lat", "lon").agg(F.lit(1).alias("one")).select("lat", "lon"), metres, radius=radius)
-    first = salted_join(once.withColumnsRenamed({"lat": "lat_a", "lon": "lon_a", "id": "a"}), pairs.where("lat_a < lat_b or lat_a = lat_b and lon_a < lon_b"), ["lat_a", "lon_a"], F.col("a"))
-    wanted = first.withColumn("day_b", F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda k: F.date_add("day", k.cast("int"))))).select("a", "lat_b", "lon_b", "day_b")
-    second = once.withColumnsRenamed({"lat": "lat_b", "lon": "lon_b", "id": "b", "day": "day_b"})
-    joined = wanted.join(second, ["lat_b", "lon_b", "day_b"]).where("a <> b")
-    return joined.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b"))
+    # + 0 makes -0.0 and 0.0 one
+    good = good.select(F.col(id_col).alias("id"), (F.col(lat) + F.lit(0.0)).alias("lat"), (F.col(lon) + F.lit(0.0)).alias("lon"), F.unix_date(F.col(day).cast("date")).alias("day"))
+    pairs = materialise(near_sites(good.groupBy("lat", "lon", "day").agg(F.lit(1).alias("one")).select("lat", "lon", "day"), metres, days, radius=radius))
+    site = ["lat", "lon", "day"]
+    ends = [pairs.select(*[F.col(f"{c}_{e}").alias(c) for c in site]) for e in "ab"]
+    held = materialise(salted_join(good, ends[0].unionByName(ends[1]).distinct(), site, F.col("id"), how="left_semi").distinct())
+    left = held.withColumnsRenamed({"id": "a", **{c: f"{c}_a" for c in site}})
+    right = held.withColumnsRenamed({"id": "b", **{c: f"{c}_b" for c in site}})
+    first = salted_join(left, pairs, [f"{c}_a" for c in site], F.col("a")).select("a", "lat_b", "lon_b", "day_b")
+    joined = salted_join(right, first, [f"{c}_b" for c in site], F.col("b")).where("a <> b")
+    return joined.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b")).distinct()
 
 
 def valid_position(lat: str = "lat", lon: str = "lon") -> Column:
