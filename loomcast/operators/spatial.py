@@ -34,27 +34,28 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
     return F.concat(F.lit("EPSG:"), (F.when(lat >= 0, 32600).otherwise(32700) + F.floor((lon + 180) / 6) + 1).cast("int").cast("string"))
 
 
+def _extent(lon0: float, lat0: float, lon1: float, lat1: float) -> tuple[int, bool, float, float, float, float]:
+    """Zone of a box's centre, and the box between its projected lower left and upper right corners."""
+    zone, south = utm.zone_of((lon0 + lon1) / 2), (lat0 + lat1) / 2 < 0
+    (xa, ya), (xb, yb) = project(lon0, lat0, zone, south), project(lon1, lat1, zone, south)
+    return zone, south, min(xa, xb), min(ya, yb), max(xa, xb), max(ya, yb)
+
+
 def grid_of_bounds(lon0: float, lat0: float, lon1: float, lat1: float, size: float) -> GridShape:
-    """Grid over the projected corners of a box: as many whole steps as put a centroid before the far edge."""
+    """Grid over a box: as many whole steps as put a centroid before the far edge."""
     if size <= 0:
         raise ValueError("cell size must be positive")
-    zone, south = utm.zone_of((lon0 + lon1) / 2), (lat0 + lat1) / 2 < 0
-    corners = [project(lon, lat, zone, south) for lon in (lon0, lon1) for lat in (lat0, lat1)]
-    x0, x1 = min(c[0] for c in corners), max(c[0] for c in corners)
-    y0, y1 = min(c[1] for c in corners), max(c[1] for c in corners)
-    n = [math.ceil((hi - lo - size / 2) / size) for lo, hi in ((x0, x1), (y0, y1))]
-    if min(n) <= 0:
+    zone, south, x0, y0, x1, y1 = _extent(lon0, lat0, lon1, lat1)
+    nx, ny = (math.ceil((hi - lo - size / 2) / size) for lo, hi in ((x0, x1), (y0, y1)))
+    if min(nx, ny) <= 0:
         raise ValueError("the bounds are smaller than a cell")
-    return GridShape(zone, x0, y0, n[0], n[1], size, south)
+    return GridShape(zone, x0, y0, nx, ny, size, south)
 
 
 def grid_of_nodes(nodes: DataFrame, size: float) -> GridShape:
-    """Grid over the box of road nodes ``x`` (lon), ``y`` (lat); at least one cell a side."""
-    b = nodes.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.avg("x"), F.avg("y")).first()
-    zone, south = utm.zone_of(b[4]), b[5] < 0
-    corners = [project(lon, lat, zone, south) for lon in (b[0], b[2]) for lat in (b[1], b[3])]
-    x0, x1 = min(c[0] for c in corners), max(c[0] for c in corners)
-    y0, y1 = min(c[1] for c in corners), max(c[1] for c in corners)
+    """Grid over the box of road nodes ``x`` (lon), ``y`` (lat): whole steps that cover it, at least one cell a side."""
+    b = nodes.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    zone, south, x0, y0, x1, y1 = _extent(*b)
     return GridShape(zone, x0, y0, max(1, math.ceil((x1 - x0) / size)), max(1, math.ceil((y1 - y0) / size)), size, south)
 
 
