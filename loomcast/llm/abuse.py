@@ -23,10 +23,14 @@ from loomcast.llm.letters import PLAIN, unmark
 
 CLASSES = ("abusive", "hateful", "sexual")
 #: Labelled documents that a model is fitted and calibrated on at most (a sample by hash of the id).
-TRAIN_DOCUMENTS = 3000
+TRAIN_DOCUMENTS = 6000
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 14, 16, 24, (1, 2, 3)
+#: Steps of a fit at least: few labels are gone over more often.
+LEAST_STEPS = 300
 #: Words in a statement at most; longer ones go on in the next, sharing OVERLAP words.
 LONGEST, OVERLAP = 40, 4
+#: Bounds before a statement: as many as keep every window within it.
+BOUNDS = max(SPANS) - 1
 
 # Digits and signs written for letters.
 LEET = str.maketrans("013457@$", "oieastas")
@@ -34,6 +38,8 @@ _STRETCH = re.compile(r"([a-z])\1{2,}")
 _END = re.compile(r"[.!?…:|][\"'»”’)\]]*$")
 _VOWELS = str.maketrans("", "", "aeiouy")
 _HAS_LETTER = re.compile(r"[a-z]")
+#: Letters and then a number: a user's name, of which there are too many to tell apart.
+_USER = re.compile(r"[a-z]{3,}[0-9]{1,3}")
 
 
 # --- words --------------------------------------------------------------------
@@ -47,7 +53,7 @@ def plain_word(token: str) -> str:
     word = token.translate(PLAIN)
     if not _HAS_LETTER.search(word):
         return "0" if word else ""
-    return _STRETCH.sub(r"\1", word.translate(LEET))
+    return "user0" if _USER.fullmatch(word) else _STRETCH.sub(r"\1", word.translate(LEET))
 
 
 def skeleton(word: str) -> str:
@@ -152,7 +158,7 @@ def _fit(m: Model, a: np.ndarray, b: np.ndarray, y: np.ndarray, weight: np.ndarr
         for s in range(0, len(order), batch):
             pick = order[s : s + batch]
             aa, bb, yy, ww = a[pick], b[pick], y[pick], weight[pick]
-            length = 1 + max(SPANS) + int((aa > 0).sum(1).max())
+            length = BOUNDS + max(SPANS) + int((aa > 0).sum(1).max())
             aa, bb = aa[:, :length].copy(), bb[:, :length].copy()
             real = aa > 0
             draw = rng.random(aa.shape)
@@ -197,10 +203,11 @@ def _adam(p: np.ndarray, m1: np.ndarray, m2: np.ndarray, g: np.ndarray, t: int,
 
 
 def _arrays(m: Model, parts: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
-    a, b = (np.zeros((len(parts), 1 + LONGEST + max(SPANS)), np.int32) for _ in range(2))
+    a, b = (np.zeros((len(parts), BOUNDS + LONGEST + max(SPANS)), np.int32) for _ in range(2))
     for k, words in enumerate(parts):
         ids = [m.ids(w) for w in words]
-        a[k, 1 : 1 + len(ids)], b[k, 1 : 1 + len(ids)] = [i for i, _ in ids], [j for _, j in ids]
+        at = slice(BOUNDS, BOUNDS + len(ids))
+        a[k, at], b[k, at] = [i for i, _ in ids], [j for _, j in ids]
     return a, b
 
 
@@ -210,7 +217,7 @@ def _statement_scores(m: Model, parts: Sequence[Sequence[str]], batch: int = 512
     for s in range(0, len(parts), batch):
         pick = order[s : s + batch]
         a, b = _arrays(m, [parts[k] for k in pick])
-        length = 1 + max(SPANS) + int((a > 0).sum(1).max())
+        length = BOUNDS + max(SPANS) + int((a > 0).sum(1).max())
         h, _, _ = _pooled(m, m.word[a[:, :length]] + m.skel[b[:, :length]])
         out[pick] = 1 / (1 + np.exp(-np.clip(h @ m.out + m.out_bias, -30, 30)))
     return out
@@ -219,7 +226,7 @@ def _statement_scores(m: Model, parts: Sequence[Sequence[str]], batch: int = 512
 # --- training -------------------------------------------------------------------
 
 
-def train(texts: Sequence[str], labels: Sequence[str], langs: Sequence[str], *, seed: int = 5, rounds: int = 3, epochs: int = 5) -> Model:
+def train(texts: Sequence[str], labels: Sequence[str], langs: Sequence[str], *, seed: int = 5, rounds: int = 4, epochs: int = 4) -> Model:
     """Fit on documents with one label each (``none`` or a class) and calibrate on every fifth of them.
 
     A statement's first score is the evidence of its words: their log-odds between documents of a class and clean ones.
@@ -237,25 +244,26 @@ def train(texts: Sequence[str], labels: Sequence[str], langs: Sequence[str], *,
     m.vocabulary = _mark_known(m, [docs[k] for k in fit])
     usual, suspect = _common(docs, fit, target)
     clean = [list(s) for s in {tuple(s): None for k in fit if target[k] < 0 for s in docs[k]} if s not in suspect]
-    chosen = _first_choice(docs, fit, target)
+    first = _first_choice(docs, fit, target)
+    chosen = [x for own in first.values() for x in own]
     for r in range(rounds):
         pos = list({(tuple(s), c): (s, c) for s, c in chosen if tuple(s) not in usual}.values())
         if not pos:
             break
         # all statements met in clean documents that look like offences, and a draw of the rest
         if r and len(clean):
-            likely = np.argsort(-_statement_scores(m, clean).max(1), kind="stable")[: max(2000, 2 * len(pos))]
+            likely = np.argsort(-_statement_scores(m, clean).max(1), kind="stable")[: max(3000, 3 * len(pos))]
         else:
             likely = np.empty(0, np.int64)
-        draw = rng.permutation(len(clean))[: max(6000, 6 * len(pos))]
+        draw = rng.permutation(len(clean))[: max(12000, 12 * len(pos))]
         neg = [clean[k] for k in np.unique(np.concatenate([likely, draw]).astype(np.int64))]
         a, b = _arrays(m, [s for s, _ in pos] + neg)
         y = np.zeros((len(a), len(CLASSES)), np.float32)
         y[np.arange(len(pos)), [c for _, c in pos]] = 1
         weight = np.ones(len(a), np.float32)
-        weight[: len(pos)] = min(8.0, max(1.0, 0.25 * len(neg) / max(1, len(pos))))
-        _fit(m, a, b, y, weight, rng, epochs)
-        chosen = _next_choice(m, docs, fit, target)
+        weight[: len(pos)] = min(4.0, max(1.0, 0.1 * len(neg) / max(1, len(pos))))
+        _fit(m, a, b, y, weight, rng, max(epochs, -(-LEAST_STEPS * 128 // len(a))))
+        chosen = _next_choice(m, docs, fit, target, first)
     _calibrate(m, docs, target, held, langs)
     return m
 
@@ -307,25 +315,28 @@ def _terms(words: Sequence[str]) -> list:
     return [*words, *zip(bones, bones[1:])]
 
 
-def _first_choice(docs: Sequence, fit: Sequence[int], target: np.ndarray) -> list[tuple]:
+def _first_choice(docs: Sequence, fit: Sequence[int], target: np.ndarray) -> dict[int, list[tuple]]:
+    """By document, the statements of most evidence for its label."""
     odds = _evidence(docs, fit, target)
-    out = []
+    out = {}
     for k in fit:
         if (c := int(target[k])) >= 0 and docs[k]:
             score = np.array([sum(sorted((odds[c].get(t, 0.0) for t in _terms(s)), reverse=True)[:4]) for s in docs[k]])
-            out += [(docs[k][i], c) for i in np.flatnonzero((score >= 0.8 * score.max()) & (score > 4))]
+            out[k] = [(docs[k][i], c) for i in np.flatnonzero((score >= 0.8 * score.max()) & (score > 4))]
     return out
 
 
-def _next_choice(m: Model, docs: Sequence, fit: Sequence[int], target: np.ndarray) -> list[tuple]:
-    """Statements scored as offences in documents so labelled, and the best one unless it looks clean; other labels' count as theirs."""
+def _next_choice(m: Model, docs: Sequence, fit: Sequence[int], target: np.ndarray, first: dict[int, list[tuple]]) -> list[tuple]:
+    """Statements scored as offences in documents so labelled, those of other labels as theirs; where there are none, the
+    statements of most evidence unless they look quite clean by now, as in documents labelled by mistake."""
     out = []
     for k in fit:
-        if (c := int(target[k])) >= 0 and docs[k]:
+        if int(target[k]) >= 0 and docs[k]:
             p = _statement_scores(m, docs[k])
             out += [(docs[k][i], int(p[i].argmax())) for i in np.flatnonzero(p.max(1) > 0.5)]
-            if p.max() <= 0.5 and p[:, c].max() > 0.1:
-                out.append((docs[k][int(p[:, c].argmax())], c))
+            if p.max() <= 0.5 and first[k]:
+                again = _statement_scores(m, [s for s, _ in first[k]])
+                out += [x for x, q in zip(first[k], again) if q[x[1]] > 0.02]
     return out
 
 
@@ -373,6 +384,14 @@ class _Tokens(dict):
         return n
 
 
+def _bounded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every single bound made BOUNDS of them; one at the end begins no statement and goes."""
+    if a[-1] == 0:
+        a, b = a[:-1], b[:-1]
+    n = np.where(a == 0, BOUNDS, 1)
+    return np.repeat(a, n), np.repeat(b, n)
+
+
 class Scorer:
     """Scores texts: tokens become numbers, statements are cut in numpy, the network runs over many texts in one sequence."""
 
@@ -407,8 +426,7 @@ class Scorer:
         single = (kind & 4) > 0
         if (single[:-2] & single[1:-1] & single[2:]).any():  # letters set apart
             seq = [x for s in statements(text) for x in [(0, 0), *self._spread_words(s)]] or [(0, 0)]
-            pair = np.array(seq, np.int32)
-            return pair[:, 0], pair[:, 1]
+            return _bounded(*np.array(seq, np.int32).T)
         a, b = self.tokens.a[ids], self.tokens.b[ids]
         bound = np.flatnonzero((kind & 2) > 0) + 1
         keep = (kind & 1) == 0
@@ -421,7 +439,7 @@ class Scorer:
         far = at[(since > 1) & (since % LONGEST == 1)]
         a, b = (np.insert(a, far, 0), np.insert(b, far, 0)) if len(far) else (a, b)
         double = np.append(False, (a[1:] == 0) & (a[:-1] == 0))
-        return a[~double], b[~double]
+        return _bounded(a[~double], b[~double])
 
     def scores(self, texts: Sequence[str | None], words_at_once: int = 40_000) -> np.ndarray:
         out = np.zeros((len(texts), len(CLASSES)), np.float32)
@@ -443,7 +461,7 @@ class Scorer:
         m, pad = self.m, np.zeros(max(SPANS), np.int32)
         a, b = np.concatenate([*(p for p, _ in parts), pad]), np.concatenate([*(p for _, p in parts), pad])
         n = len(a) - len(pad)
-        starts = np.flatnonzero(a[:n] == 0)
+        starts = np.flatnonzero(a[:n] == 0)[::BOUNDS]
         text = np.repeat(np.array(owner), [len(p) for p, _ in parts])[starts]
         x = m.word[a] + m.skel[b]
         pooled = []
@@ -451,7 +469,8 @@ class Scorer:
             act = x[:n] @ f[:WIDTH]
             for o in range(1, s):
                 act += x[o : n + o] @ f[o * WIDTH : (o + 1) * WIDTH]
-            pooled.append(np.maximum(np.maximum.reduceat(act, starts, axis=0) + bias, 0))
+            # 0: the window of bounds alone, which every statement of the fit has
+            pooled.append(np.maximum(np.maximum(np.maximum.reduceat(act, starts, axis=0), 0) + bias, 0))
         p = 1 / (1 + np.exp(-np.clip(np.concatenate(pooled, 1) @ m.out + m.out_bias, -30, 30)))
         np.maximum.at(out, text, p.astype(np.float32))
 
