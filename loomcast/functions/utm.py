@@ -95,11 +95,15 @@ def inverse(x: str, y: str, zone: int, *, south: bool = False, prefix: str = "g"
 
 
 def apply(df: DataFrame, stages: list[Stage], keep: list[str]) -> DataFrame:
-    """Add the columns ``keep`` of the last stages; intermediate ones are dropped."""
+    """Add the columns ``keep`` of the last stages; intermediate ones are dropped.
+
+    They pass through an array of one struct: the optimiser pushes no filter below a generator, where it would put the
+    whole series in the place of each name and multiply it by every stage.
+    """
     first = df.columns
     for stage in stages:
         df = df.withColumns({name: F.expr(text) for name, text in stage})
-    return df.select(*[f"`{c}`" for c in first], *keep)
+    return df.select(*[F.col(f"`{c}`") for c in first], F.inline(F.array(F.struct(*keep))))
 
 
 def nested_sql(source: str, stages: list[Stage]) -> str:

@@ -112,8 +112,7 @@ def point_to_cell(df: DataFrame, g: GridShape, lon: str = "lon", lat: str = "lat
     ok = f"abs({lat}) <= 90 and abs({lon}) <= 180"
     guarded = df.withColumns({"__lo": F.expr(f"case when {ok} then {lon} end"), "__la": F.expr(f"case when {ok} then {lat} end")})
     xy = utm.apply(guarded, utm.forward("__lo", "__la", g.zone, south=g.south), ["u_x", "u_y"])
-    # exploded from an array of one, so that a filter on the cell isn't pushed below the projection and expanded there
-    return xy.withColumn(out, F.explode(F.array(F.expr(cell_sql(g, "u_x", "u_y"))))).drop("__lo", "__la", "u_x", "u_y")
+    return xy.withColumn(out, F.expr(cell_sql(g, "u_x", "u_y"))).drop("__lo", "__la", "u_x", "u_y")
 
 
 def nearest_cell_sql(g: GridShape, x: str, y: str) -> str:
