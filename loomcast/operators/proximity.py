@@ -300,16 +300,18 @@ def great_circle_m(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: n
 _PAIR = "lat_a double, lon_a double, day_a int, lat_b double, lon_b double, day_b int"
 
 
-def near_sites(sites: DataFrame, metres: float, days: int, *, radius: float = EARTH_RADIUS_M) -> DataFrame:
+def near_sites(sites: DataFrame, metres: float, days: int, *, radius: float = EARTH_RADIUS_M, rows: DataFrame | None = None) -> DataFrame:
     """Pairs ``lat_a, lon_a, day_a, lat_b, lon_b, day_b`` at most ``metres`` (on a sphere) and ``days`` apart, (lat_a, lon_a) < (lat_b, lon_b).
 
     ``sites``: distinct finite ``lat`` (-90..90), ``lon`` (-180..180) and ``day`` int. Each pair occurs once; sites at one
-    location are no pair. Circles that cross the date line or hold a pole are covered. Besides place, tasks are split by
+    location are no pair. ``rows``: what the sites were reduced from, to count and sample without reducing it once more
+    (leaves then come out smaller than need be, never larger). Circles that cross the date line or hold a pole are covered. Besides place, tasks are split by
     periods of days, so a location of any age brings a bounded number of sites to a task. Empty input gives no pairs.
     """
     period = max(20, 4 * (2 * days + 1))
-    most = sites.groupBy(F.floor(F.col("day") / F.lit(period)).alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
-    cuts = _cuts(sites.select(F.col("lon").alias("x"), F.col("lat").alias("y")), most["n"] or 0, most["most"] or 0)
+    rows = sites if rows is None else rows
+    most = rows.groupBy(F.floor(F.col("day") / F.lit(period)).alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+    cuts = _cuts(rows.select(F.col("lon").alias("x"), F.col("lat").alias("y")), most["n"] or 0, most["most"] or 0)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -362,7 +364,7 @@ def close_pairs(events: DataFrame, metres: float, days: int, *, id_col: str = "e
     good = events.where(F.col(id_col).isNotNull() & F.col(day).isNotNull() & F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180))
     # + 0 makes -0.0 and 0.0 one
     good = good.select(F.col(id_col).alias("id"), (F.col(lat) + F.lit(0.0)).alias("lat"), (F.col(lon) + F.lit(0.0)).alias("lon"), F.unix_date(F.col(day).cast("date")).alias("day"))
-    pairs = materialise(near_sites(good.groupBy("lat", "lon", "day").agg(F.lit(1).alias("one")).select("lat", "lon", "day"), metres, days, radius=radius))
+    pairs = materialise(near_sites(good.groupBy("lat", "lon", "day").agg(F.lit(1).alias("one")).select("lat", "lon", "day"), metres, days, radius=radius, rows=good))
     site = ["lat", "lon", "day"]
     ends = [pairs.select(*[F.col(f"{c}_{e}").alias(c) for c in site]) for e in "ab"]
     held = materialise(salted_join(good, ends[0].unionByName(ends[1]).distinct(), site, F.col("id"), how="left_semi").distinct())
