@@ -24,7 +24,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's public pre-tokenization pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Windows a group is expected to fill; about half a window of a group is lost to rounding.
-GROUP_WINDOWS = 96
+GROUP_WINDOWS = 192
 
 
 @lru_cache(maxsize=2)
@@ -88,7 +88,7 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def pack(sizes: list[int], capacity: int, *, slack: float = 0.005) -> list[list[int]]:
+def pack(sizes: list[int], capacity: int, *, slack: float = 0.002) -> list[list[int]]:
     """Indices of ``sizes`` (each at most ``capacity``) in windows that never exceed the capacity.
 
     Differencing starts with the fewest windows the total allows. While some window exceeds the capacity, the windows
