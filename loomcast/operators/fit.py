@@ -206,6 +206,7 @@ def fit_linear_distributed(rows: DataFrame, *, init_alpha: float = 0.1, steps: i
     A step is one aggregate of six sums a cell; their Schur complement is one more row; the new mu is a projection of the table.
     Damping is by the likelihood of the step's result, which the next pass returns; after a loss the step is halved.
     """
+    rows = materialise(rows.select("cell", "y", "x"))  # every step reads them again
     mu = materialise(rows.groupBy("cell").agg(F.greatest(F.avg("y"), F.lit(1e-3)).alias("mu")))
     alpha, last, kept, step = init_alpha, -math.inf, None, None
     size = 1.0

@@ -70,10 +70,13 @@ def _simulated(spark: SparkSession, data: str) -> DataFrame:
 
 def _mobility(spark: SparkSession, data: str) -> DataFrame:
     """Radial weights between the locations 0..n-1 of sim_counts on a lattice, rows normalised: a dense matrix by definition, its columns unrolled from n."""
-    n = table(spark, data, "sim_counts").agg(F.max("location")).first()[0]
+    held = table(spark, data, "sim_counts").where("location is not null").groupBy("location").agg(F.lit(1).alias("one"))
+    n = held.agg(F.max("location")).first()[0]
     i, j = F.col("i"), F.col("j")
     pairs = spark.range(n + 1).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n))).alias("j"))
     d2 = F.pow((i % 4 - j % 4) / 4.0, 2) + F.pow((F.floor(i / 4) - F.floor(j / 4)) / 4.0, 2)
+    for end in ("i", "j"):
+        pairs = pairs.join(held.select(F.col("location").alias(end)), end, "left_semi")
     w = pairs.withColumn("w", stats.rbf(d2, 0.5))
     return w.join(w.groupBy("i").agg(F.sum("w").alias("s")), "i").select("i", "j", (F.col("w") / F.col("s")).alias("w"))
 
