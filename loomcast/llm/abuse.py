@@ -247,7 +247,11 @@ def train(texts: Sequence[str], labels: Sequence[str], langs: Sequence[str], *,
     first = _first_choice(docs, fit, target)
     chosen = [x for own in first.values() for x in own]
     for r in range(rounds):
-        pos = list({(tuple(s), c): (s, c) for s, c in chosen if tuple(s) not in usual}.values())
+        often: dict[tuple, int] = {}
+        for s, c in chosen:
+            if tuple(s) not in usual:
+                often[tuple(s), c] = often.get((tuple(s), c), 0) + 1
+        pos = [*often]
         if not pos:
             break
         # all statements met in clean documents that look like offences, and a draw of the rest
@@ -261,9 +265,10 @@ def train(texts: Sequence[str], labels: Sequence[str], langs: Sequence[str], *,
         y = np.zeros((len(a), len(CLASSES)), np.float32)
         y[np.arange(len(pos)), [c for _, c in pos]] = 1
         weight = np.ones(len(a), np.float32)
-        weight[: len(pos)] = min(4.0, max(1.0, 0.1 * len(neg) / max(1, len(pos))))
+        # a statement met in the same words many times counts for more, up to a bound
+        weight[: len(pos)] = min(4.0, max(1.0, 0.1 * len(neg) / max(1, len(pos)))) * np.minimum(8, [*often.values()])
         _fit(m, a, b, y, weight, rng, max(epochs, -(-LEAST_STEPS * 128 // len(a))))
-        chosen = _next_choice(m, docs, fit, target, first)
+        chosen = _next_choice(m, docs, fit, target, first, doubt=r > 0)
     _calibrate(m, docs, target, held, langs)
     return m
 
@@ -292,7 +297,7 @@ def _common(docs: Sequence, fit: Sequence[int], target: np.ndarray) -> tuple[set
     usual, suspect = set(), set()
     for s, clean in count[0].items():
         other = count[1].get(s, 0)
-        (suspect if other > 1 and other / n[1] > 5 * clean / n[0] else usual).add(s)
+        (suspect if other > 1 and other / n[1] > 3 * clean / n[0] else usual).add(s)
     return usual, suspect
 
 
@@ -307,7 +312,8 @@ def _evidence(docs: Sequence, fit: Sequence[int], target: np.ndarray) -> list[di
         to = clean if target[k] < 0 else own[target[k]]
         for t in terms:
             to[t] = to.get(t, 0) + 1
-    return [{t: np.log((v + 0.1) / (n[c] + 1)) - np.log((clean.get(t, 0) + 0.1) / (n[-1] + 1)) for t, v in o.items() if v > 1} for c, o in enumerate(own)]
+    # pairs are so many that two of a kind may meet by chance
+    return [{t: np.log(v / (n[c] + 1)) - np.log((clean.get(t, 0) + 1) / (n[-1] + 1)) for t, v in o.items() if v > (3 if isinstance(t, tuple) else 1)} for c, o in enumerate(own)]
 
 
 def _terms(words: Sequence[str]) -> list:
@@ -322,19 +328,21 @@ def _first_choice(docs: Sequence, fit: Sequence[int], target: np.ndarray) -> dic
     for k in fit:
         if (c := int(target[k])) >= 0 and docs[k]:
             score = np.array([sum(sorted((odds[c].get(t, 0.0) for t in _terms(s)), reverse=True)[:4]) for s in docs[k]])
-            out[k] = [(docs[k][i], c) for i in np.flatnonzero((score >= 0.8 * score.max()) & (score > 4))]
+            out[k] = [(docs[k][i], c) for i in np.flatnonzero((score >= 0.8 * score.max()) & (score > 7))]
     return out
 
 
-def _next_choice(m: Model, docs: Sequence, fit: Sequence[int], target: np.ndarray, first: dict[int, list[tuple]]) -> list[tuple]:
+def _next_choice(m: Model, docs: Sequence, fit: Sequence[int], target: np.ndarray, first: dict[int, list[tuple]], doubt: bool) -> list[tuple]:
     """Statements scored as offences in documents so labelled, those of other labels as theirs; where there are none, the
-    statements of most evidence unless they look quite clean by now, as in documents labelled by mistake."""
+    statements of most evidence unless they look quite clean by now, as in documents labelled by mistake. Without ``doubt`` the statements of most evidence all stay."""
     out = []
     for k in fit:
         if int(target[k]) >= 0 and docs[k]:
             p = _statement_scores(m, docs[k])
             out += [(docs[k][i], int(p[i].argmax())) for i in np.flatnonzero(p.max(1) > 0.5)]
-            if p.max() <= 0.5 and first[k]:
+            if not doubt:
+                out += first[k]
+            elif p.max() <= 0.5 and first[k]:
                 again = _statement_scores(m, [s for s, _ in first[k]])
                 out += [x for x, q in zip(first[k], again) if q[x[1]] > 0.02]
     return out
