@@ -94,8 +94,9 @@ class Index:
     def _least(lengths: np.ndarray, stretch: Stretch) -> int:
         """Lemma: L letters hold L - q + 1 q-grams and an edited word of m letters spoils at most m + q - 1 of them.
 
-        The shortest run of the words asked for, less its permitted edits on its longest words, leaves this bound; spelling
-        differences spoil more, so 15 are asked for at least (24 letters in one piece) and 20 at most.
+        The shortest run of the words asked for, less its permitted edits on its longest words, leaves this bound; more than
+        20 are never asked for. Spelling differences beside the permitted edits spoil more, so such a stretch may fall below the
+        bound; where edits can spoil all q-grams the bound is 1, and a stretch that keeps none isn't found.
         """
         n = stretch.words
         if len(lengths) < n:
@@ -103,7 +104,7 @@ class Index:
         runs = np.lib.stride_tricks.sliding_window_view(lengths, n)
         edits = n // stretch.per_edit
         left = runs.sum(1) - Q + 1 - (np.sort(runs, axis=1)[:, n - edits :] + Q - 1).sum(1)
-        return int(max(15, min(20, left.min())))
+        return int(max(1, min(20, left.min())))
 
     def pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in codes, entry) of every shared q-gram."""

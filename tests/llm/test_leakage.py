@@ -56,6 +56,15 @@ def test_exact_and_disguised_stretches(passages):
             assert k in _found(passages, f"{_noise(rng, 40)} {shown} {_noise(rng, 40)}"), shown
 
 
+def test_permitted_edits_of_short_words_meet_the_bound():
+    words = "the cat sat far off and saw two old men dig mud".split()
+    shown = " ".join({4: "joy", 8: "kin"}.get(n, w) for n, w in enumerate(words))
+    index = L.Index([" ".join(words)], L.Stretch())
+    place, _ = index.pairs(L.encode(letters(shown)))
+    assert index.least[0] <= len(place) < 15
+    assert L.search([f"{shown} {_noise(random.Random(5), 40)}"], index, L.Stretch()) == [(0, 0, 12)]
+
+
 def test_no_leaks(passages):
     rng = random.Random(2)
     for p in passages:
