@@ -1,17 +1,19 @@
 """Maximum likelihood without an optimiser library.
 
 For fixed lag kernel and weights the intensity mu_i + alpha * x_it is linear, the Poisson likelihood concave and its Hessian an
-arrowhead: five sums a cell make a Newton step. Small panels run as arrays; large ones as one aggregate a step, with mu a table.
+arrowhead: five sums a cell make a Newton step. Small panels run as arrays; large ones as one pass a step, with mu a table.
 Decay rates and dispersion are outer one-dimensional searches.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -200,39 +202,68 @@ def ridge_fit(rows: DataFrame, ridge: float = 1e-6) -> tuple[DataFrame, DataFram
     return alpha, mu
 
 
-def fit_linear_distributed(rows: DataFrame, *, init_alpha: float = 0.1, steps: int = 12, tol: float = 1e-8) -> tuple[DataFrame, float, float]:
-    """The Newton iteration over ``cell, y, x`` of any size: ``cell, mu`` as a table, alpha, log-likelihood without the factorial term.
+def fit_distributed(rows: DataFrame, *, init_alpha: float = 0.1, steps: int = 60, tol: float = 1e-12) -> dict:
+    """mu and alpha of ``cell, y, x`` of any number of cells: ``cell, mu`` as a table, alpha, log-likelihood without the factorial term.
 
-    A step is one aggregate of six sums a cell; their Schur complement is one more row; the new mu is a projection of the table.
-    Damping is by the likelihood of the step's result, which the next pass returns; after a loss the step is halved.
+    At a fixed alpha every cell's mu is a concave problem of its own, solved where the cell lies, and the profile over alpha is
+    concave. A pass returns its value, slope and curvature as one row; alpha moves by Newton steps kept within the bracket that
+    the slopes' signs leave, until the gain in sight is below ``tol``. ``result`` tells whether that was reached within ``steps`` passes.
+    A cell's rows with events meet in one list, no longer than the panel has steps.
     """
-    rows = materialise(rows.select("cell", "y", "x"))  # every step reads them again
-    mu = materialise(rows.groupBy("cell").agg(F.greatest(F.avg("y"), F.lit(1e-3)).alias("mu")))
-    alpha, last, kept, step = init_alpha, -math.inf, None, None
-    size = 1.0
-    for _ in range(steps):
-        lam = F.greatest(F.col("mu") + F.lit(alpha) * F.col("x"), F.lit(TINY))
-        r, q = F.col("y") / lam - 1, F.col("y") / (lam * lam)
-        sums = materialise(rows.join(mu, "cell").groupBy("cell").agg(F.first("mu").alias("mu"), F.sum(r).alias("g"), F.sum(r * F.col("x")).alias("ga"), (F.sum(q) + 1e-10).alias("d"), F.sum(q * F.col("x")).alias("c"), F.sum(q * F.col("x") * F.col("x")).alias("b"), F.sum(F.col("y") * F.ln(lam) - lam).alias("ll")))
-        free = (F.col("mu") > 1e-10) | (F.col("g") > 0)
-        t = sums.agg(F.sum("ga").alias("ga"), F.sum("b").alias("b"), F.sum(F.when(free, F.col("c") * F.col("g") / F.col("d")).otherwise(0)).alias("cg"), F.sum(F.when(free, F.col("c") * F.col("c") / F.col("d")).otherwise(0)).alias("cc"), F.sum("ll").alias("ll")).first()
-        if t["ll"] < last and kept is not None:
-            size /= 2
-            mu, alpha = _moved(step, size), max(kept[1] + size * kept[2], 0.0)
-            mu = materialise(mu)
-            continue
-        gain, last = t["ll"] - last, t["ll"]
-        da = (t["ga"] - t["cg"]) / max(t["b"] - t["cc"], 1e-10) if alpha > 1e-12 or t["ga"] > 0 else 0.0
-        step = sums.select("cell", "mu", F.when(free, (F.col("g") - F.col("c") * F.lit(da)) / F.col("d")).otherwise(0.0).alias("dm"))
-        kept, size = (mu, alpha, da), 1.0
-        if gain < tol * (1 + abs(last)):
+    seen = F.col("y") > 0
+    cells = materialise(rows.select("cell", F.col("y").cast("double"), F.col("x").cast("double")).groupBy("cell").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("x").alias("sx"), F.collect_list(F.when(seen, F.col("y"))).alias("ys"), F.collect_list(F.when(seen, F.col("x"))).alias("xs")))
+    kind = rows.schema["cell"].dataType.simpleString()
+    at = lambda a: cells.mapInArrow(_profiled(a), f"cell {kind}, mu double, ll double, slope double, curve double")
+    lo, hi, alpha, done, nit, best = -1.0, math.inf, max(init_alpha, 0.0), False, 0, (-math.inf, 0.0)
+    for nit in range(1, steps + 1):
+        t = at(alpha).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("ll", "slope", "curve")]).first()
+        best = max(best, (t["ll"], alpha))
+        if (alpha == 0 and t["slope"] <= 0) or t["slope"] ** 2 <= 2 * tol * (1 + abs(t["ll"])) * t["curve"]:
+            best, done = (t["ll"], alpha), True
             break
-        mu, alpha = materialise(_moved(step, size)), max(alpha + da, 0.0)
-    return kept[0], kept[1], last
-
-
-def _moved(step: DataFrame, size: float) -> DataFrame:
-    return step.select("cell", F.greatest(F.col("mu") + F.lit(size) * F.col("dm"), F.lit(0.0)).alias("mu"))
+        lo, hi = (alpha, hi) if t["slope"] > 0 else (lo, alpha)
+        step = alpha + t["slope"] / max(t["curve"], 1e-10)
+        if step <= 0 and lo < 0:
+            step = 0.0
+        elif not lo < step < hi:
+            step = (max(lo, 0.0) + hi) / 2
+        alpha = min(step, 10 * alpha + 1)
+    mu = materialise(at(best[1]).select("cell", "mu"))
+    return {"mu": mu, "alpha": best[1], "loglik": best[0], "result": {"success": done, "message": "converged" if done else "step limit reached", "nit": nit}}
+
+
+def _profiled(alpha: float):  # noqa: ANN202
+    """Each cell's best mu at ``alpha``, and its share of the profile's value, slope and (negated) curvature."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            n, sx = (batch.column(c).to_numpy() for c in ("n", "sx"))
+            who = np.repeat(np.arange(len(n)), batch.column("ys").value_lengths().to_numpy())
+            y, x = (batch.column(c).flatten().to_numpy() for c in ("ys", "xs"))
+            total = lambda v: np.bincount(who, v, len(n))  # noqa: B023, E731
+            mu = np.zeros(len(n))
+            np.maximum.at(mu, who, y / n[who] - alpha * x)  # not above the root; from there Newton steps rise towards it
+            for _ in range(200):
+                lam = np.maximum(mu[who] + alpha * x, TINY)
+                up = (total(y / lam) - n) / np.maximum(total(y / lam**2), TINY)
+                mu, last = np.maximum(mu + up, 0), mu
+                if (np.abs(mu - last) <= 1e-14 * (1e-6 + mu)).all():
+                    break
+            lam = np.maximum(mu[who] + alpha * x, TINY)
+            c, d = total(y * x / lam**2), np.maximum(total(y / lam**2), TINY)
+            curve = total(y * x * x / lam**2) - np.where(mu > 0, c * c / d, 0)
+            out = [total(y * np.log(lam)) - n * mu - alpha * sx, total(y * x / lam) - sx, curve]
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), *map(pa.array, (mu, *out))], ["cell", "mu", "ll", "slope", "curve"])
+
+    return run
+
+
+def fit_linear_distributed(rows: DataFrame, *, init_alpha: float = 0.1, steps: int = 60, tol: float = 1e-12) -> tuple[DataFrame, float, float]:
+    """``cell, mu``, alpha and log-likelihood of ``fit_distributed``; warns if it hasn't converged."""
+    f = fit_distributed(rows, init_alpha=init_alpha, steps=steps, tol=tol)
+    if not f["result"]["success"]:
+        warnings.warn(f"fit_linear_distributed: {f['result']['message']} after {f['result']['nit']} passes", stacklevel=2)
+    return f["mu"], f["alpha"], f["loglik"]
 
 
 def recover_seeds(spark: SparkSession, seconds: np.ndarray, p: simulate.Params, beta: float, n_steps: int, seeds: Iterable[int], family: str = "poisson", dispersion: float | None = None) -> DataFrame:

@@ -202,6 +202,26 @@ def test_gradient_is_zero_at_the_fit_and_distributed_agrees(spark):
     assert abs(a.first()[0] - max((xd * yd).sum() / ((xd * xd).sum() + 1e-6), 0)) < 1e-9 and m.count() == 4
 
 
+def test_distributed_fit_converges_on_sparse_cells(spark):
+    rng = np.random.default_rng(4)
+    w = simulate.random_world(30, 4, 0.5).weights
+    for alpha in (0.0, 0.3):
+        y = simulate.counts(w, simulate.Params(np.where(np.arange(30) % 3, 0.02, rng.uniform(0.05, 1, 30)), alpha, G), 120, 6)["y_true"]
+        x = w @ fit.history(y, G)
+        rows = spark.createDataFrame([(i, int(y[i, t]), float(x[i, t])) for i in range(30) for t in range(120)], "cell int, y int, x double")
+        f = fit.fit_distributed(rows)
+        mu = np.array([r["mu"] for r in f["mu"].orderBy("cell").collect()])
+        lam = np.maximum(mu[:, None] + f["alpha"] * x, 1e-12)
+        g, ga = (y / lam - 1).sum(1), ((y / lam - 1) * x).sum()
+        assert f["result"]["success"] and np.abs(g[mu > 0]).max() < 1e-5 and g[mu == 0].max(initial=-1) <= 0
+        assert abs(ga) < 1e-2 if f["alpha"] > 0 else ga <= 0
+        array = fit.fit_alpha_mu(w, G, y, steps=500)
+        assert f["loglik"] >= (y * np.log(np.maximum(array["mu"][:, None] + array["alpha"] * x, 1e-12)) - array["mu"][:, None] - array["alpha"] * x).sum() - 1e-6
+    assert not fit.fit_distributed(rows, steps=1)["result"]["success"]
+    with pytest.warns(UserWarning, match="step limit"):
+        fit.fit_linear_distributed(rows, steps=1)
+
+
 def test_observation_fit(spark):
     rng = np.random.default_rng(0)
     y = rng.poisson(3.0, 4000)
