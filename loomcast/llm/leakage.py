@@ -25,6 +25,8 @@ BAND = 48
 MARGIN = 8
 #: Letters aligned before the first and after the last shared q-gram.
 REACH = 96
+#: Cells of the alignments held at once (a byte each).
+STEPS = 1 << 26
 #: Letters of passages held by one pass over the texts; more passages are searched in blocks, a pass for each.
 BLOCK_LETTERS = 2_000_000
 
@@ -148,9 +150,10 @@ def search(texts: Sequence[str | None], index: Index, stretch: Stretch) -> list[
     # a hashed count first: most bands hold too few to be worth sorting
     bucket = ((key.astype(np.uint64) * _MIX) >> _BITS).astype(np.int64)
     keep = np.bincount(bucket, minlength=1 << 20)[bucket] >= np.concatenate([index.least[who]] * 2)
-    both = np.sort((key[keep] << 12) | np.minimum(np.concatenate([at, at])[keep], 4095))
+    bits = index.longest.bit_length()
+    both = np.sort((key[keep] << bits) | np.concatenate([at, at])[keep])
     both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
-    key, at = both >> 12, both & 4095
+    key, at = both >> bits, both & ((1 << bits) - 1)
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
     count = np.diff(np.append(first, len(key)))
     lo, hi = at[first], at[np.append(first[1:], len(key)) - 1] if len(first) else first
@@ -168,8 +171,11 @@ def search(texts: Sequence[str | None], index: Index, stretch: Stretch) -> list[
     for r in range(int(rank.max()) + 1 if len(rank) else 0):
         todo = [k for k in order[rank == r] if (int(text[k]), int(who[k])) not in found]
         todo.sort(key=lambda k: hi[k] - lo[k])
-        for s in range(0, len(todo), 256):
-            part = todo[s : s + 256]
+        while todo:
+            # the last region is the longest; a batch's steps are bounded
+            most = int(hi[todo[-1]] - lo[todo[-1]]) + Q + 2 * REACH
+            size = max(1, min(256, STEPS // (most * (BAND + 2 * MARGIN))))
+            todo, part = todo[:-size], todo[-size:]
             for k, words in zip(part, _verify([(codes[text[k]], index.codes[who[k]], index.words[who[k]], int(diagonal[k]), int(lo[k]), int(hi[k])) for k in part], stretch)):
                 if words >= stretch.words:
                     found[int(text[k]), int(who[k])] = words
@@ -190,30 +196,33 @@ def _verify(regions: list[tuple], stretch: Stretch) -> list[int]:
         a, b = max(0, i), min(len(t), i + most + width)
         if b > a:
             text[a - i : b - i, k] = t[a:b]
-    lane = np.arange(width, dtype=np.int16)[:, None]
-    cost = np.zeros((width, count), np.int16)
+    kind = np.int16 if most < 15000 else np.int32
+    lane, length, least = np.arange(width, dtype=kind)[:, None], np.array(rows), min(rows)
+    cost, skip = np.zeros((width, count), kind), np.full((width, count), np.iinfo(kind).max - 2 * width, kind)
     step = np.empty((most, width, count), np.uint8)
     for j in range(most):
-        same = text[j : j + width] == passage[j]
-        diag = cost + ~same
-        skip = np.full_like(cost, 30000)
-        skip[:-1] = cost[1:] + 1
+        wrong = text[j : j + width] != passage[j]
+        diag = cost + wrong
+        np.add(cost[1:], 1, out=skip[:-1])
         best = np.minimum(diag, skip)
-        run = np.minimum.accumulate(best - lane, axis=0) + lane
-        step[j] = np.where(run < best, 2, np.where(skip < diag, 1, np.where(same, 0, 3)))
-        cost = np.where(j < np.array(rows), run, cost).astype(np.int16)
-    row, col, k = np.array(rows) - 1, cost.argmin(0), np.arange(count)
+        run = np.minimum.accumulate(best - lane, axis=0)
+        run += lane
+        np.multiply(wrong, 3, out=step[j], dtype=np.uint8)
+        np.copyto(step[j], 1, where=skip < diag)
+        np.copyto(step[j], 2, where=run < best)
+        cost = run if j < least else np.where(j < length, run, cost)
+    r, c, q = length - 1, cost.argmin(0), np.arange(count)
     matched, added = np.zeros((most, count), np.uint8), np.zeros((most, count), np.int16)
-    live = row >= 0
-    while live.any():
-        r, c, q = row[live], col[live], k[live]
-        s = step[r, c, q]
-        matched[r[s == 0], q[s == 0]] = 1
-        extra = s == 2
-        np.add.at(added, (r[extra], q[extra]), 1)
-        row[live] = r - (s != 2)
-        col[live] = c + (s == 1) - extra
-        live = (row >= 0) & (col >= 0)
+    step = step.reshape(-1)
+    while len(r):
+        s = step[(r * width + c) * count + q]
+        hit, extra = s == 0, s == 2
+        matched[r[hit], q[hit]] = 1
+        added[r[extra], q[extra]] += 1  # a column is met once
+        r, c = r - ~extra, c + (s == 1) - extra
+        live = (r >= 0) & (c >= 0)
+        if not live.all():
+            r, c, q = r[live], c[live], q[live]
     return [_longest(np.cumsum(np.append(0, matched[: rows[k], k])), np.cumsum(np.append(0, added[: rows[k], k])), w - begin[k], rows[k], stretch) for k, (_, _, w, _, _, _) in enumerate(regions)]
 
 
@@ -233,9 +242,9 @@ def _longest(matched: np.ndarray, added: np.ndarray, words: np.ndarray, rows: in
     ends = np.flatnonzero(good)
     if not len(ends):
         return 0
-    span = ends[None, :] - ends[:, None] + 1
-    span[(worth[ends + 1][None, :] - worth[ends][:, None] < 0) | (span < 1)] = 0
-    return int(span.max())
+    # for every end the first word from which the run is worth 0 or more
+    begin = np.searchsorted(-np.minimum.accumulate(worth[ends]), -worth[ends + 1])
+    return int((ends - ends[np.minimum(begin, len(ends) - 1)] + 1).max(initial=0, where=begin < len(ends)))
 
 
 # --- Spark ----------------------------------------------------------------------

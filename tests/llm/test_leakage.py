@@ -73,6 +73,15 @@ def test_no_leaks(passages):
             assert not _found(passages, f"{_noise(rng, 40)} {shown} {_noise(rng, 40)}"), shown
 
 
+def test_tail_of_a_long_passage():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(2200)]
+    passage, n = " ".join(words), len("".join(words))
+    assert n > 10_000
+    for shown, want in ((words[2100:2140], 40), (words[-30:], 30), (words, 2200)):
+        assert L.search([f"{_noise(rng, 40)} {' '.join(shown)} {_noise(rng, 40)}"], L.Index([passage], L.Stretch()), L.Stretch()) == [(0, 0, want)]
+
+
 def test_qgrams_are_exact():
     codes = L.encode("abcdefghijklmnop")
     g = L.qgrams(codes)
