@@ -27,7 +27,7 @@ TRAIN_DOCUMENTS = 6000
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 14, 16, 24, (1, 2, 3)
 #: Steps of a fit at least: few labels are gone over more often.
 LEAST_STEPS = 300
-#: Words in a statement at most; longer ones go on in the next, sharing OVERLAP words.
+#: Words in a statement at most; longer ones go on in the next, sharing OVERLAP words (scoring also has parts between, _starts).
 LONGEST, OVERLAP = 40, 4
 #: Bounds before a statement: as many as keep every window within it.
 BOUNDS = max(SPANS) - 1
@@ -70,8 +70,8 @@ def _token(token: str) -> tuple[str, bool]:
     return plain_word(token), bool(_END.search(token))
 
 
-def statements(text: str) -> list[list[str]]:
-    """Statements of a text as plain words: cut at line ends and closing punctuation; letters set apart are joined."""
+def statements(text: str, between: bool = False) -> list[list[str]]:
+    """Statements of a text as plain words: cut at line ends and closing punctuation; letters set apart are joined. ``between``: see _starts."""
     out: list[list[str]] = []
     for line in unmark(text).split("\n"):
         words: list[str] = []
@@ -90,20 +90,24 @@ def statements(text: str) -> list[list[str]]:
             if word:
                 words.append(word)
             if end and words:
-                _close(words, out)
+                _close(words, out, between)
                 words = []
         if single:
             words.append(single)
         if words:
-            _close(words, out)
+            _close(words, out, between)
     return out
 
 
-def _close(words: list[str], out: list[list[str]]) -> None:
-    while len(words) > LONGEST:
-        out.append(words[:LONGEST])
-        words = words[LONGEST - OVERLAP :]
-    out.append(words)
+def _starts(n: int, between: bool = False) -> range:
+    """Where the parts of a statement of n words begin; those ``between`` leave any LONGEST / 2 words whole in one part."""
+    step = LONGEST - OVERLAP
+    last = -(-max(n - LONGEST, 0) // step) * step
+    return range(0, last + 1, step // 2 if between else step)
+
+
+def _close(words: list[str], out: list[list[str]], between: bool = False) -> None:
+    out.extend(words[s : s + LONGEST] for s in _starts(len(words), between))
 
 
 # --- network --------------------------------------------------------------------
@@ -427,13 +431,13 @@ class Scorer:
         return out
 
     def _sequence(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of all words in order, 0 before each statement; a bound is also set within statements over LONGEST words."""
+        """Buckets of all words in order, 0 before each statement; those over LONGEST words are cut into parts, as in the fit and between these."""
         text = unmark(text)
         ids = np.array([*map(self.tokens.__getitem__, text.replace("\x00", " ").replace("\n", " \x00 ").split())], np.int64)
         kind = self.tokens.kind[ids]
         single = (kind & 4) > 0
         if (single[:-2] & single[1:-1] & single[2:]).any():  # letters set apart
-            seq = [x for s in statements(text) for x in [(0, 0), *self._spread_words(s)]] or [(0, 0)]
+            seq = [x for s in statements(text, between=True) for x in [(0, 0), *self._spread_words(s)]] or [(0, 0)]
             return _bounded(*np.array(seq, np.int32).T)
         a, b = self.tokens.a[ids], self.tokens.b[ids]
         bound = np.flatnonzero((kind & 2) > 0) + 1
@@ -442,10 +446,12 @@ class Scorer:
         a, b = np.insert(a, bound, 0), np.insert(b, bound, 0)
         keep = np.insert(keep, bound, True)
         a, b = np.append(0, a[keep]), np.append(0, b[keep])
-        at = np.arange(len(a))
-        since = at - np.maximum.accumulate(np.where(a == 0, at, 0))
-        far = at[(since > 1) & (since % LONGEST == 1)]
-        a, b = (np.insert(a, far, 0), np.insert(b, far, 0)) if len(far) else (a, b)
+        zero = np.flatnonzero(a == 0)
+        n = np.diff(np.append(zero, len(a))) - 1
+        if len(n) and n.max() > LONGEST:
+            parts = [np.append(z, np.arange(z + 1 + s, z + 1 + min(k, s + LONGEST))) for z, k in zip(zero.tolist(), n.tolist()) for s in _starts(k, between=True)]
+            pick = np.concatenate(parts)
+            a, b = a[pick], b[pick]
         double = np.append(False, (a[1:] == 0) & (a[:-1] == 0))
         return _bounded(a[~double], b[~double])
 

@@ -63,6 +63,17 @@ def test_fast_and_plain_scoring_agree(model, pages):
         assert abs(A._statement_scores(model, A.statements(t)).max(0) - s).max() < 0.02
 
 
+def test_long_statements_have_no_seams(model):
+    calm, bad = " ".join(CALM.replace("|", " ").split() * 4).split()[:100], "shut up you useless gronk".split()
+    whole = [model.ids(w)[0] for w in bad]
+    for at in range(20, 90):
+        text = " ".join([*calm[:at], *bad, *calm[at:]])
+        scorer = A.Scorer(model)
+        seq = scorer._sequence(text)[0].tolist()
+        assert any(seq[k : k + 5] == whole for k in range(len(seq))), at
+        assert (scorer.scores([text])[0] >= A._statement_scores(model, A.statements(text)).max(0) - 0.02).all()
+
+
 def test_no_labels_and_one_class():
     assert A.Scorer(A.train([], [], [])).scores(["x", None, ""]).shape == (3, 3)
     m = A.train(["calm words here"] * 5, ["none"] * 5, [""] * 5)
