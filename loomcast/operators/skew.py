@@ -59,14 +59,19 @@ _FIRST = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 _SECOND = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
+def _salt(rows: DataFrame, salts: int) -> Column:
+    """By the measured columns; without any by the partition, as the key alone would give all its rows one salt."""
+    columns = [F.col(c) for c in rows.columns if c != "__k"]
+    return F.pmod(F.xxhash64(*columns or [F.spark_partition_id()]), F.lit(salts))
+
+
 def _two_phase(rows: DataFrame, measures: Mapping[str, tuple[str, str]], salts: int) -> DataFrame:
     """count_distinct goes by (key, value) first, so that one key's values are spread too; the rest by (key, salt)."""
     plain = {n: m for n, m in measures.items() if m[0] != "count_distinct"}
     first = [_FIRST[k](F.lit(1) if c == "*" else F.col(f"__m_{c}")).alias(n) for n, (k, c) in plain.items()]
     first = first or [F.count(F.lit(1)).alias("__n")]
     if salts:
-        columns: Sequence[str] = [c for c in rows.columns if c != "__k"] or ["__k"]
-        salted = rows.withColumn("__s", F.pmod(F.xxhash64(*columns), F.lit(salts)))
+        salted = rows.withColumn("__s", _salt(rows, salts))
         out = salted.groupBy("__k", "__s").agg(*first).groupBy("__k").agg(*[_SECOND[k](n).alias(n) for n, (k, _) in plain.items()] or [F.sum("__n").alias("__n")])
     else:
         out = rows.groupBy("__k").agg(*first)

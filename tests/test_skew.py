@@ -47,3 +47,10 @@ def test_salted_join_equals_plain_join(spark):
         want = big.join(small, "k", how)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert skew.salted_join(big.where("v > 10000"), small, ["k"], F.col("v")).count() == 0
+
+
+def test_counts_alone_are_salted_within_a_key(spark):
+    rows = spark.range(0, 4000, 1, 8).select(F.lit("hot").alias("__k"))
+    assert rows.select(skew._salt(rows, 32)).distinct().count() > 1
+    got = skew.skewed_aggregate(rows.withColumnRenamed("__k", "k"), "k", {"n": ("count", "*")}).collect()
+    assert [tuple(r) for r in got] == [("hot", 4000, True)]
