@@ -27,6 +27,13 @@ def p7_leaks(spark: SparkSession, data: str) -> DataFrame:
     return found.join(documents.select("doc_id", "source"), "doc_id")
 
 
+def p7_verbatim(spark: SparkSession, data: str) -> DataFrame:
+    """Leaks of a whole passage in its own letters: what SQL can say of the operator's recall."""
+    documents, benchmark = table(spark, data, "documents"), table(spark, data, "benchmark")
+    found = leakage.leaks(documents, benchmark).join(benchmark.select("item_id", "passage"), "item_id").join(documents.select("doc_id", "text"), "doc_id")
+    return found.where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
+
+
 def p7_found(spark: SparkSession, data: str) -> DataFrame:
     return leakage.leaks(table(spark, data, "documents"), table(spark, data, "benchmark")).select("item_id", "doc_id")
 
@@ -48,7 +55,9 @@ def p8_found(spark: SparkSession, data: str) -> DataFrame:
     return _scored(spark, data).where(F.col("flagged") & F.col("doc_id").isNotNull()).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_packing, p6_fill_rates, p7_found, p7_leaks, p8_found, p8_scores, p8_source_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_packing, p6_fill_rates, p7_found, p7_leaks, p7_verbatim, p8_found, p8_scores, p8_source_rates)}
 
 #: Tokenizing, alignment and the classifier have no SQL; tests hold them against brute force, round trips and held-out labels.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p7_verbatim": "SELECT DISTINCT item_id, doc_id FROM benchmark JOIN documents ON contains(text, passage) WHERE length(passage) > 0",
+}

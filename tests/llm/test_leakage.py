@@ -61,10 +61,93 @@ def test_permitted_edits_of_short_words_meet_the_bound():
     shown = " ".join({4: "joy", 8: "kin"}.get(n, w) for n, w in enumerate(words))
     index = L.Index([" ".join(words)], L.Stretch())
     place, _ = index.pairs(L.encode(letters(shown)))
-    assert index.least[0] <= len(place) < 15
+    assert index.least[0] <= len(place) < 20
     assert L.search([f"{shown} {_noise(random.Random(5), 40)}"], index, L.Stretch()) == [(0, 0, 12)]
 
 
+def _recall(passages, rng, edits, tries=150, words=12):
+    index, texts, want = L.Index(passages, L.Stretch()), [], []
+    for n in range(tries):
+        k = n % len(passages)
+        w = passages[k].split()
+        a = rng.randrange(len(w) - words + 1)
+        part = w[a : a + words]
+        for q in rng.sample(range(1, words - 1), edits):
+            part[q] = rng.choice(["quebec", "on", "marlin", "other", ""])
+        texts.append(f"{_noise(rng, 20)} {' '.join(x for x in part if x)} {_noise(rng, 20)}")
+        want.append(k)
+    found = {(t, p) for t, p, _ in L.search(texts, index, L.Stretch())}
+    return sum((t, k) in found for t, k in enumerate(want)) / tries
+
+
+def test_recall_of_shortest_stretches(passages):
+    rng = random.Random(6)
+    for edits in (0, 1, 2):
+        assert _recall(passages, rng, edits) >= 0.99, edits
+    short = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice((2, 3, 3, 4, 5)))) for _ in range(60)) for _ in range(8)]
+    for edits in (0, 1, 2):
+        assert _recall(short, rng, edits) >= 0.99, edits
+
+
+def test_recall_far_into_a_passage():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) for _ in range(10_500)]
+    index = L.Index([" ".join(words)], L.Stretch())
+    assert index.longest > 50_000
+    places = [0, 700, 2000, 5000, 9000, len(words) - 12]
+    texts = []
+    for a in places:
+        part = words[a : a + 12]
+        part[3], part[8] = "quebec", "marlin"
+        texts.append(f"{_noise(rng, 30)} {' '.join(part)} {_noise(rng, 30)}")
+    assert {t for t, _, _ in L.search(texts, index, L.Stretch())} == set(range(len(places)))
+
+
+@pytest.mark.parametrize(("first", "last", "size", "space"), [(0x430, 0x44F, 7, " "), (0x627, 0x64A, 6, " "), (0x5D0, 0x5EA, 5, " "), (0x4E00, 0x7000, 2, ""), (0xE01, 0xE2E, 4, "")])
+def test_other_scripts(first, last, size, space):
+    rng = random.Random(10)
+    words = ["".join(chr(rng.randint(first, last)) for _ in range(size)) for _ in range(200)]
+    others = space.join("".join(chr(rng.randint(first, last)) for _ in range(size)) for _ in range(60))
+    index = L.Index([space.join(words)], L.Stretch())
+    texts = [f"{others}{space}{space.join(words[a : a + 14])}{space}{others}" for a in range(0, 186, 3)]
+    found = L.search(texts, index, L.Stretch())
+    assert len({t for t, _, _ in found}) >= 0.99 * len(texts)
+    assert not L.search([others, f"{others}{space}{space.join(words[40:48])}{space}{others}"], index, L.Stretch())
+
+
+def test_words_against_a_plain_search():
+    """The alignment of words against all pairs of runs, on small pieces."""
+    rng = random.Random(11)
+    stretch = L.Stretch(6, 3)
+
+    def plain(text, passage):
+        best = 0
+
+        def go(i, j, start, edits):
+            nonlocal best
+            n = i + 1 - start
+            if n >= 3 * edits:
+                best = max(best, n)
+            for a in range(L.LEAP + 1):
+                for b in range(L.LEAP + 1):
+                    x, y = i + 1 + a, j + 1 + b
+                    if x < len(passage) and y < len(text) and passage[x] == text[y] and edits + max(a, b) <= L.EDITS:
+                        go(x, y, start, edits + max(a, b))
+
+        for i in range(len(passage)):
+            for j in range(len(text)):
+                if passage[i] == text[j]:
+                    go(i, j, i, 0)
+        return best
+
+    for _ in range(30):
+        passage = [rng.choice(["alpha", "berry", "cocoa", "dunes", "elbow", "frost"]) for _ in range(8)]
+        text = [w for w in passage if rng.random() > 0.2]
+        text.insert(rng.randrange(len(text) + 1), "quartz")
+        got = L._by_words([([L.encode(w) for w in text], [L.encode(w) for w in passage])], stretch)
+        assert got == [plain(text, passage)], (text, passage)
+
+
 def test_no_leaks(passages):
     rng = random.Random(2)
     for p in passages:
@@ -85,10 +168,11 @@ def test_tail_of_a_long_passage():
 def test_qgrams_are_exact():
     codes = L.encode("abcdefghijklmnop")
     g = L.qgrams(codes)
-    assert len(g) == 7 and len(set(g.tolist())) == 7 and L.qgrams(codes[3:13])[0] == g[3] and len(L.qgrams(codes[:9])) == 0
+    n = len(codes) - L.Q + 1
+    assert len(g) == n and len(set(g.tolist())) == n and L.qgrams(codes[3 : 3 + L.Q])[0] == g[3] and len(L.qgrams(codes[: L.Q - 1])) == 0
     broken = codes.copy()
-    broken[8] = 0
-    assert not set(L.qgrams(broken)[:7].tolist()) & set(g[:7].tolist())
+    broken[L.Q] = 0
+    assert not set(L.qgrams(broken)[1:n].tolist()) & set(g.tolist())
 
 
 def test_alignment_against_full_edit_distance(passages):
