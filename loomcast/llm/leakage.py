@@ -87,7 +87,7 @@ class Index:
     """Q-grams of passages with their places, word bounds, and the least counts that a leaked stretch leaves."""
 
     def __init__(self, passages: Sequence[str], stretch: Stretch) -> None:
-        self.codes, self.words, least, end, need, keys, who, at = [], [], [], [], [], [], [], []
+        self.codes, self.words, least, span, end, need, keys, who, at = [], [], [], [], [], [], [], [], []
         for k, passage in enumerate(passages):
             words = passage_words(passage)
             lengths = np.array([len(w) for w in words], np.int64)
@@ -99,6 +99,7 @@ class Index:
             stop, bound = np.zeros(len(plain), np.int32), np.full(len(plain), 1 << 30, np.int32)
             runs = self._least(lengths, stretch, FINE)
             begin = (ends - lengths)[: len(runs)]
+            span.append(int((ends[stretch.words - 1 :] - begin).max(initial=0)))
             stop[begin], bound[begin] = ends[stretch.words - 1 :], runs
             end.append(stop), need.append(bound)
             grams = qgrams(plain)
@@ -115,7 +116,8 @@ class Index:
         self.who, self.at = who[order], at[order]
         self.map = np.zeros(1 << 20, bool)
         self.map[(self.keys * _MIX) >> _BITS] = True
-        self.least = np.array(least, np.int64)
+        # q-grams that a stretch keeps at least, and letters of the longest run of the words asked for
+        self.least, self.span = np.array(least, np.int64), np.array(span, np.int64)
         self.size = np.array([len(c) for c in self.codes], np.int64)
         self.longest = int(self.size.max(initial=0))
         self.start = np.cumsum(self.size) - self.size
@@ -193,7 +195,12 @@ def search(texts: Sequence[str | None], index: Index, stretch: Stretch) -> list[
     lo, hi = at[first], at[np.append(first[1:], len(key)) - 1] if len(first) else first
     band_key = key[first]
     who = band_key % n
-    ok = count >= index.least[who]
+    # as many within the letters of a stretch
+    last = np.arange(len(key)) + index.least[key % n] - 1
+    full = last < len(key)
+    last = np.where(full, last, 0)
+    full &= (key[last] == key) & (at[last] - at <= index.span[key % n] - Q)
+    ok = np.logical_or.reduceat(full, first) if len(first) else np.empty(0, bool)
     who, count, lo, hi, spot = who[ok], count[ok], lo[ok], hi[ok], band_key[ok] // n
     text = np.searchsorted(base, spot, "right") - 1
     diagonal = (spot - base[text] - 1) * half - index.longest
@@ -291,23 +298,23 @@ def _by_words(pieces: Sequence[tuple], stretch: Stretch) -> list[int]:
 
 def _dense(text: np.ndarray, start: np.ndarray, size: np.ndarray, index: Index, who: np.ndarray, diagonal: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The lemma at FINE letters: regions with a run of the words asked for whose short q-grams occur within the band as often as that run's bound."""
-    width, keep = BAND + 2 * MARGIN, np.zeros(len(who), bool)
-    begin = np.maximum(0, lo - REACH)
-    rows = np.minimum(index.size[who], hi + Q + REACH) - begin
+    keep = np.zeros(len(who), bool)
+    begin = np.maximum(0, lo - index.span[who])
+    rows = np.minimum(index.size[who], hi + index.span[who]) - begin
     order = np.argsort(rows, kind="stable")
     while len(order):
         most = int(rows[order[-1]])
-        part = max(1, min(REGIONS, STEPS // (8 * (most + width))))
+        part = max(1, min(REGIONS, STEPS // (8 * (most + BAND))))
         order, k = order[:-part], order[-part:]
         place = np.arange(most)[:, None]
         letter = np.where(place < rows[k], index.start[who[k]] + begin[k] + place, len(index.short) - 1)
         of = index.short[letter]
-        first = begin[k] + diagonal[k] - MARGIN
-        place = np.arange(most + width)[:, None] + first
+        first = begin[k] + diagonal[k]
+        place = np.arange(most + BAND)[:, None] + first
         inside = (place >= 0) & (place < size[k])
         at = np.where(inside, text[np.where(inside, place + start[k], 0)], np.uint32(0xFFFFFFFF))
         same = at[:most] == of
-        for d in range(1, width):
+        for d in range(1, BAND):
             same |= at[d : d + most] == of
         total = np.zeros((most + 1, len(k)), np.int32)
         np.cumsum(same, axis=0, dtype=np.int32, out=total[1:])
