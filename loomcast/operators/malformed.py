@@ -1,18 +1,23 @@
 """Rows that fail to parse, with the reason, beside the typed valid rows (problem 5).
 
 Lines are cut into fields by the separator their file's header shows; records explode into cells (record, column, text,
-number); a rule table is joined by column, every cell is judged, bad cells are gathered into one error row a record, and
-an anti-join with the errors leaves the clean rows, which are pivoted back and typed.
+number), and a cell without column says what is wrong with the record as a whole; a rule table is joined by column, every cell
+is judged, bad cells are gathered into error rows, and an anti-join with the errors leaves the clean rows, which are pivoted
+back and typed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.operators.skew import salted_join
+from loomcast.session import materialise
+
+#: Parts that a file's lines are spread over when they meet their header.
+FILE_SALTS = 32
 
 # A day, alone or followed by T or one space and a time of day; a plain decimal.
 DAY_PATTERN = r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])([T ]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?)?\z"
@@ -72,7 +77,7 @@ def split_lines(lines: DataFrame) -> DataFrame:
     A header (the least line_id with line_no 1 of a file) shows separator and columns; it may start with a byte order
     mark. Header lines and lines that are null, empty or of spaces only are no records. ``cells`` is null where quoting is
     broken; quotes are taken off and doubled ones made single. A line whose file has no header has null ``names``.
-    One file may hold a third of all lines: its lines are spread by salt when they meet their header.
+    One file may hold a third of all lines: lines are spread by salt when they meet their header, which is one row a file.
     """
     rows = lines.select("line_id", F.coalesce("file_name", F.lit("")).alias("file_name"), "line_no", "raw_line")
     header = rows.where("line_no = 1").groupBy("file_name").agg(F.min_by("raw_line", "line_id").alias("header"))
@@ -81,7 +86,9 @@ def split_lines(lines: DataFrame) -> DataFrame:
     names = _by_separator(lambda s: F.regexp_extract_all(F.concat(F.lit(s), "header"), F.lit(f"{s}({_field(s)})"), 1))
     header = header.select("file_name", "sep", F.transform(names, lambda x: F.lower(F.btrim(_unquote(x), F.lit(" ")))).alias("names"))
     records = rows.where("(line_no <> 1 or line_no is null) and raw_line rlike '[^ ]'")
-    joined = salted_join(records, header, ["file_name"], F.col("line_id"), how="left").withColumn("sep", F.coalesce("sep", F.lit(",")))
+    salted = records.withColumn("__salt", F.pmod(F.xxhash64("line_id", "line_no"), F.lit(FILE_SALTS)).cast("int"))
+    header = header.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(FILE_SALTS - 1))))
+    joined = salted.join(header, ["file_name", "__salt"], "left").withColumn("sep", F.coalesce("sep", F.lit(",")))
     well = _by_separator(lambda s: F.col("raw_line").rlike(f"^(?:{_field(s)})(?:{s}(?:{_field(s)}))*+\\z"))
     cells = _by_separator(lambda s: F.regexp_extract_all(F.concat(F.lit(s), "raw_line"), F.lit(f"{s}({_field(s)})"), 1))
     return joined.withColumn("quoted_well", well).select(F.col("line_id").alias("row_key"), "quoted_well", "names", F.when(F.col("quoted_well"), F.transform(cells, _unquote)).alias("cells"))
@@ -96,26 +103,57 @@ def _unquote(x: Column) -> Column:
 
 @dataclass
 class Checked:
-    """``errors``: origin, row_key, reason (one row each). ``clean``: origin, row_key and the typed columns."""
+    """``judged``: every cell with the reason it fails for (null if it doesn't)."""
+
+    judged: DataFrame
+    rules: tuple[Rule, ...]
+
+    @property
+    def errors(self) -> DataFrame:
+        """``origin, row_key, reason``: one row each."""
+        return _errors(self.judged)
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        """``origin, row_key`` and the typed columns of the records without an error; null ids are in no clean output.
 
-    errors: DataFrame
-    clean: DataFrame
+        The judged cells are written once, as both sides of the anti-join read them.
+        """
+        judged = materialise(self.judged)
+        bad = _errors(judged).select("origin", "row_key").distinct()
+        typed = [F.max(F.when(F.col("column") == r.column, valid_day(F.col("text")) if r.kind == "date" else F.col("number").cast("bigint") if r.whole else F.col("number"))).alias(r.column) for r in self.rules]
+        return judged.where("row_key is not null").join(bad, ["origin", "row_key"], "left_anti").groupBy("origin", "row_key").agg(*typed)
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        """``origin, records, erroneous, clean``: every record is one or the other."""
+        by_record = self.judged.groupBy("origin", "row_key").agg(F.count_if(F.col("column") == "").alias("records"), F.max(F.col("reason").isNotNull()).alias("bad"))
+        n = F.sum("records")
+        return by_record.groupBy("origin").agg(n.alias("records"), F.coalesce(F.sum(F.when(F.col("bad"), F.col("records"))), F.lit(0)).alias("erroneous"), F.coalesce(F.sum(F.when(~F.col("bad"), F.col("records"))), F.lit(0)).alias("clean"))
 
-_CELL = "origin string, row_key bigint, column string, text string, number double"
+
+def _errors(judged: DataFrame) -> DataFrame:
+    return judged.where("reason is not null").select("origin", "row_key", "reason").distinct()
 
 
 def cells_of_lines(split: DataFrame, origin: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """Cells of the records whose quoting and number of fields are right; of columns named twice in a header each is judged."""
+    """Cells of the records, the first without column; of columns named twice in a header each is judged.
+
+    The first cell's text is ``quoting`` or ``columns`` where the record is broken, whose other cells are left out, else null.
+    A record whose file has none of the rules' columns thus still has a cell.
+    """
     names = [r.column for r in rules]
-    good = split.where("quoted_well and size(cells) = size(names)")
-    cell = good.select("row_key", F.explode(F.arrays_zip("names", "cells")).alias("c")).where(F.col("c.names").isin(names))
-    return cell.select(F.lit(origin).alias("origin"), "row_key", F.col("c.names").alias("column"), F.col("c.cells").alias("text"), plain_decimal(F.col("c.cells")).alias("number"))
+    shape = F.when(~F.col("quoted_well"), "quoting").when(F.col("names").isNull() | (F.size("cells") != F.size("names")), "columns")
+    own = F.filter(F.arrays_zip(F.col("names").alias("column"), F.col("cells").alias("text")), lambda c: c["column"].isin(names))
+    whole = F.array(F.struct(F.lit("").alias("column"), shape.alias("text")))
+    cell = split.select("row_key", F.explode(F.when(shape.isNull(), F.concat(whole, own)).otherwise(whole)).alias("c"))
+    return cell.select(F.lit(origin).alias("origin"), "row_key", "c.column", "c.text", F.when(F.col("c.column") != "", plain_decimal(F.col("c.text"))).alias("number"))
 
 
 def cells_of_rows(rows: DataFrame, origin: str, key: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """Cells of typed rows: strings as text, numbers as double with NaN and infinities as null."""
-    parts = []
+    """Cells of typed rows: strings as text, numbers as double with NaN and infinities as null; the first without column."""
+    none = F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("number")
+    parts = [F.struct(F.lit("").alias("column"), *none)]
     for r in rules:
         c = F.col(r.column)
         text = c.cast("string") if r.kind == "date" else F.lit(None).cast("string")
@@ -124,31 +162,26 @@ def cells_of_rows(rows: DataFrame, origin: str, key: str, rules: tuple[Rule, ...
     return rows.select(F.lit(origin).alias("origin"), F.col(key).cast("bigint").alias("row_key"), F.explode(F.array(*parts)).alias("c")).select("origin", "row_key", "c.column", "c.text", "c.number")
 
 
-def bad_cells(cells: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``origin, row_key, reason``: the cells that break their column's rule. The rule table has one row a column."""
-    judged = cells.join(F.broadcast(rule_table(cells.sparkSession, rules)), "column")
+def judge(cells: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``origin, row_key, column, text, number, reason``: the column's name where its rule is broken. The rule table has one row a column."""
+    judged = cells.join(F.broadcast(rule_table(cells.sparkSession, rules)), "column", "left")
     n = F.col("number")
     number_ok = n.isNotNull() & (n >= F.coalesce("lo", n)) & (n <= F.coalesce("hi", n)) & (~F.col("whole") | (n == F.floor(n)))
     ok = F.when(F.col("kind") == "date", valid_day(F.col("text")).isNotNull()).otherwise(number_ok)
-    return judged.where(~F.coalesce(ok, F.lit(False))).select("origin", "row_key", F.col("column").alias("reason"))
+    reason = F.when(F.col("column") == "", F.col("text")).when(~F.coalesce(ok, F.lit(False)), F.col("column"))
+    return judged.select("origin", "row_key", "column", "text", "number", reason.alias("reason"))
 
 
 def check_records(lines: DataFrame, rows: DataFrame, rules: tuple[Rule, ...] = READING_RULES, *, lines_origin: str = "acled_raw", rows_origin: str = "acled_small", row_id: str = "row_id") -> Checked:
     """Judge CSV lines and typed rows by the same rules.
 
     Reasons of a line: ``quoting``; else ``columns`` (another number of fields than the header, or no header); else the name of
-    each invalid column. A column a file lacks isn't judged there and null in its clean rows. ``row_id`` and ``line_id``
-    must be unique within their table; a null id can be reported but never joined out, hence such rows are in no clean
-    output. Repeated records are judged each by itself. Empty tables give empty results.
+    each invalid column. A column a file lacks isn't judged there and null in its clean rows, be it every column. ``row_id``
+    and ``line_id`` must be unique within their table; a null id can be reported but never joined out, hence such rows
+    are in no clean output. Repeated records are judged each by itself. Empty tables give empty results.
     """
-    split = split_lines(lines)
-    shape = split.select(F.lit(lines_origin).alias("origin"), "row_key", F.when(~F.col("quoted_well"), "quoting").when(F.col("names").isNull() | (F.size("cells") != F.size("names")), "columns").alias("reason")).where("reason is not null")
-    cells = cells_of_lines(split, lines_origin, rules).unionByName(cells_of_rows(rows, rows_origin, row_id, rules))
-    errors = shape.unionByName(bad_cells(cells, rules)).distinct()
-    bad = errors.groupBy("origin", "row_key").agg(F.sort_array(F.collect_list("reason")).alias("reasons")).select("origin", "row_key")
-    typed = [F.max(F.when(F.col("column") == r.column, valid_day(F.col("text")) if r.kind == "date" else F.col("number").cast("bigint") if r.whole else F.col("number"))).alias(r.column) for r in rules]
-    clean = cells.where("row_key is not null").join(bad, ["origin", "row_key"], "left_anti").groupBy("origin", "row_key").agg(*typed)
-    return Checked(errors, clean)
+    cells = cells_of_lines(split_lines(lines), lines_origin, rules).unionByName(cells_of_rows(rows, rows_origin, row_id, rules))
+    return Checked(judge(cells, rules), rules)
 
 
 def error_rows(errors: DataFrame) -> DataFrame:

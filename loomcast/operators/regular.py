@@ -30,22 +30,37 @@ def daily_means(readings: DataFrame, keys: Sequence[str], day: str, value: str)
     return readings.groupBy(*keys, F.unix_date(F.col(day)).alias("day_no")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(value).cast("double")).alias("y"))
 
 
-def fit_harmonics(daily: DataFrame, keys: Sequence[str], *, harmonics: int = 2, period: float = YEAR_DAYS, ridge: float = RIDGE) -> DataFrame:
-    """``keys, first, last, coef``: coefficients of 1, trend, and sine and cosine of each harmonic, for each source.
+def _terms(harmonics: int) -> list[tuple[int, int]]:
+    size = 2 + 2 * harmonics
+    return [(a, b) for a in range(size) for b in range(a, size)]
+
 
-    The sums of products are reduced map-side; only the p x p systems (p = 2 + 2 * harmonics) reach Python, a block of
-    sources at a time. The intercept isn't penalised. A source without values gets null coefficients.
+def normal_sums(daily: DataFrame, keys: Sequence[str], *, harmonics: int = 2, period: float = YEAR_DAYS) -> DataFrame:
+    """``keys, first, last, days, s, v``: each source's span, its days in order, and the sums of its normal equations.
+
+    ``s`` holds the sums of products of the design's terms (upper triangle, row by row), ``v`` those with the values; both are
+    null for a source without values. ``days`` is an array of day_no, n, y: a source has a row for each calendar day at most.
     """
-    size = 2 + 2 * harmonics
-    span = daily.groupBy(*keys).agg(F.min("day_no").alias("first"), F.max("day_no").alias("last"))
-    rows = daily.join(span, list(keys))
+    size, whole = 2 + 2 * harmonics, Window.partitionBy(*keys)
+    rows = daily.withColumn("first", F.min("day_no").over(whole))
     x = _design(F.col("day_no").cast("double"), F.col("first").cast("double"), harmonics, period)
-    rows = rows.select(*keys, "first", "last", "y", *[c.alias(f"__x{k}") for k, c in enumerate(x)])
+    rows = rows.withColumns({f"__x{k}": c for k, c in enumerate(x)})
     used = F.col("y").isNotNull()
-    pair = [(a, b) for a in range(size) for b in range(a, size)]
-    sums = [F.sum(F.when(used, F.col(f"__x{a}") * F.col(f"__x{b}"))).alias(f"__s{a}_{b}") for a, b in pair] + [F.sum(F.col(f"__x{a}") * F.col("y")).alias(f"__t{a}") for a in range(size)]
-    normal = rows.groupBy(*keys).agg(F.min("first").alias("first"), F.max("last").alias("last"), *sums)
-    packed = normal.select(*keys, "first", "last", F.array(*[f"__s{a}_{b}" for a, b in pair]).alias("s"), F.array(*[f"__t{a}" for a in range(size)]).alias("v"))
+    sums = [F.sum(F.when(used, F.col(f"__x{a}") * F.col(f"__x{b}"))).alias(f"__s{a}_{b}") for a, b in _terms(harmonics)] + [F.sum(F.col(f"__x{a}") * F.col("y")).alias(f"__t{a}") for a in range(size)]
+    day = F.struct("day_no", "n", "y")
+    out = rows.groupBy(*keys).agg(F.min("day_no").alias("first"), F.max("day_no").alias("last"), F.sort_array(F.collect_list(day)).alias("days"), *sums)
+    return out.select(*keys, "first", "last", "days", F.array(*[f"__s{a}_{b}" for a, b in _terms(harmonics)]).alias("s"), F.array(*[f"__t{a}" for a in range(size)]).alias("v"))
+
+
+def fit_harmonics(daily: DataFrame, keys: Sequence[str], *, harmonics: int = 2, period: float = YEAR_DAYS, ridge: float = RIDGE) -> DataFrame:
+    """``keys, first, last, days, s, v, coef``: coefficients of 1, trend, and sine and cosine of each harmonic, for each source.
+
+    The days have been reduced before; one shuffle brings each source's together. Only the p x p systems
+    (p = 2 + 2 * harmonics) reach Python, a block of sources at a time. The intercept isn't penalised. A source without
+    values gets null coefficients.
+    """
+    size, pair = 2 + 2 * harmonics, _terms(harmonics)
+    packed = normal_sums(daily, keys, harmonics=harmonics, period=period)
 
     def solve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         up = np.array(pair)
@@ -64,36 +79,45 @@ def fit_harmonics(daily: DataFrame, keys: Sequence[str], *, harmonics: int = 2,
             yield out
 
     solver = F.pandas_udf(solve, "array<double>")
-    return packed.select(*keys, "first", "last", solver("s", "v").alias("coef"))
+    return packed.withColumn("coef", solver("s", "v"))
 
 
 def regular_series(readings: DataFrame, keys: Sequence[str], day: str, value: str, *, harmonics: int = 2, period: float = YEAR_DAYS) -> DataFrame:
     """One row for each source and calendar day between its first and last reading.
 
-    Columns: ``keys, on_day, n_readings, value, filled, prev_day, next_day``. On days with readings ``value`` is their
+    Columns: ``keys, on_day, n_readings, value, filled, prev_day, next_day, observed, fitted``. On days with readings ``value`` is their
     mean and ``filled`` false; otherwise it is the regression's prediction plus the linearly bridged residual, and
     ``prev_day`` / ``next_day`` are the enclosing readings' days. Rows with a null key or day are left out. A day whose
-    readings all lack a value counts as read, its ``value`` is filled; a source without any value has null values.
+    readings all lack a value counts as read, its ``value`` is filled and ``observed`` false; a source without any value has null values and a
+    false ``fitted``.
     Repeated rows weigh in the mean as often as they lie. Empty input gives no rows.
     """
     good = readings.where(F.expr(" and ".join(f"`{c}` is not null" for c in [*keys, day])))
-    daily = daily_means(good, keys, day, value)
-    fit = fit_harmonics(daily, keys, harmonics=harmonics, period=period)
-    grid = fit.select(*keys, F.explode(F.sequence("first", "last")).alias("day_no"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("y"))
-    days = daily.select(*keys, "day_no", "n", "y").unionByName(grid).groupBy(*keys, "day_no").agg(F.sum("n").alias("n"), F.max("y").alias("y"))
+    fit = fit_harmonics(daily_means(good, keys, day, value), keys, harmonics=harmonics, period=period)
+    # each reading's day goes on up to the day before the next one
+    until = F.transform("days", lambda r, k: F.struct(r.alias("r"), F.coalesce(F.get("days", k + 1)["day_no"] - 1, r["day_no"]).alias("until")))
+    days = fit.select(*keys, "first", "coef", F.explode(until).alias("__d")).select(*keys, "first", "coef", "__d.r", F.explode(F.sequence("__d.r.day_no", "__d.until")).alias("day_no"))
+    read = F.col("day_no") == F.col("r.day_no")
+    days = days.select(*keys, "first", "coef", "day_no", F.when(read, F.col("r.n")).otherwise(0).alias("n"), F.when(read, F.col("r.y")).alias("y"))
     at = F.col("day_no").cast("double")
     terms = _design(at, F.col("first").cast("double"), harmonics, period)
-    fitted = days.join(fit, list(keys)).withColumn("yhat", sum((F.get("coef", k) * x for k, x in enumerate(terms[1:], 1)), F.get("coef", 0)))
+    fitted = days.withColumn("yhat", sum((F.get("coef", k) * x for k, x in enumerate(terms[1:], 1)), F.get("coef", 0)))
     before = Window.partitionBy(*keys).orderBy("day_no").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*keys).orderBy("day_no").rowsBetween(1, Window.unboundedFollowing)
     read, residual = F.when(F.col("n") > 0, F.col("day_no")), F.when(F.col("y").isNotNull(), F.struct(at.alias("d"), (F.col("y") - F.col("yhat")).alias("r")))
     out = fitted.withColumns({"p": F.last(residual, True).over(before), "q": F.first(residual, True).over(after), "prev": F.last(read, True).over(before), "next": F.first(read, True).over(after)})
     share = (at - F.col("p.d")) / (F.col("q.d") - F.col("p.d"))
     bridge = F.coalesce(F.col("p.r") + share * (F.col("q.r") - F.col("p.r")), F.col("p.r"), F.col("q.r"))
-    return out.select(*keys, F.date_from_unix_date("day_no").alias("on_day"), F.col("n").alias("n_readings"), F.coalesce("y", F.col("yhat") + bridge).alias("value"), (F.col("n") == 0).alias("filled"), F.date_from_unix_date("prev").alias("prev_day"), F.date_from_unix_date("next").alias("next_day"))
+    return out.select(*keys, F.date_from_unix_date("day_no").alias("on_day"), F.col("n").alias("n_readings"), F.coalesce("y", F.col("yhat") + bridge).alias("value"), (F.col("n") == 0).alias("filled"), F.date_from_unix_date("prev").alias("prev_day"), F.date_from_unix_date("next").alias("next_day"), F.col("y").isNotNull().alias("observed"), F.col("coef").isNotNull().alias("fitted"))
 
 
 def gaps(series: DataFrame, keys: Sequence[str], at_least: int) -> DataFrame:
-    """``keys, gap_first, gap_last``: maximal runs of at least ``at_least`` filled days between two readings."""
-    run = series.where("filled").groupBy(*keys, "prev_day").agg(F.min("on_day").alias("gap_first"), F.max("on_day").alias("gap_last"), F.count(F.lit(1)).alias("n"))
-    return run.where(F.col("n") >= at_least).select(*keys, "gap_first", "gap_last")
+    """``keys, gap_first, gap_last, filled_mean``: maximal runs of at least ``at_least`` filled days between two readings.
+
+    Every day of a gap must have been filled with a finite value, unless its source could not be fitted (then
+    ``filled_mean`` is null); otherwise the query fails rather than report a gap that the series doesn't close.
+    """
+    open_day = F.col("fitted") & ~F.coalesce(F.abs("value") < float("inf"), F.lit(False))
+    run = series.where("filled").groupBy(*keys, "prev_day").agg(F.min("on_day").alias("gap_first"), F.max("on_day").alias("gap_last"), F.count(F.lit(1)).alias("n"), F.avg("value").alias("filled_mean"), F.max(open_day).alias("open"))
+    closed = F.when(F.col("open"), F.raise_error(F.lit("a fitted series has a day without a finite value")).cast("boolean")).otherwise(True)
+    return run.where((F.col("n") >= at_least) & closed).select(*keys, "gap_first", "gap_last", "filled_mean")

@@ -1,7 +1,7 @@
 """Rolling totals over trailing periods (problem 3).
 
-Rows are reduced to sparse daily totals; an entity's calendar (first day to last day plus a tail) adds rows for its quiet
-days; range frames over the integer day number then give each trailing total, and averages divide by the period's fixed length.
+Rows are reduced to sparse daily totals; after each active day the calendar adds rows for the quiet days up to the next one
+(after the last, for a tail); range frames over the integer day number then give each trailing total, and averages divide by the period's fixed length.
 """
 
 from __future__ import annotations
@@ -32,13 +32,14 @@ def trailing_totals(daily: DataFrame, periods: Sequence[int], *, tail: int = 0)
 
     ``daily``: ``entity, day_no, total``, one row for each active day. A window ends with the day itself; days before
     the first count as zero and averages divide by the period's length. Days have been summed before, so an entity's
-    rows number its calendar days at most, whatever its share of the events. Empty input gives no rows.
+    rows number its calendar days at most, whatever its share of the events. The daily totals are read once and shuffled
+    once, by entity. Empty input gives no rows.
     """
-    span = daily.groupBy("entity").agg(F.min("day_no").alias("first"), F.max("day_no").alias("last"))
-    quiet = span.select("entity", F.explode(F.sequence("first", F.col("last") + F.lit(tail))).alias("day_no"), F.lit(0).cast("long").alias("total"))
-    days = daily.select("entity", "day_no", "total").unionByName(quiet, allowMissingColumns=True).groupBy("entity", "day_no").agg(F.sum("total").alias("total"))
     base = Window.partitionBy("entity").orderBy("day_no")
-    out = days
+    until = F.coalesce(F.lead("day_no").over(base) - 1, F.col("day_no") + F.lit(tail))
+    active = daily.select("entity", "day_no", "total", until.alias("until"))
+    days = active.select("entity", "day_no", "total", F.explode(F.sequence("day_no", "until")).alias("on"))
+    out = days.select("entity", F.col("on").alias("day_no"), F.when(F.col("on") == F.col("day_no"), F.col("total")).otherwise(0).alias("total"))
     for p in periods:
         out = out.withColumn(f"total_{p}", F.sum("total").over(base.rangeBetween(-(p - 1), 0)))
     return out.select("entity", F.date_from_unix_date("day_no").alias("on_day"), "total", *[f"total_{p}" for p in periods], *[(F.col(f"total_{p}") / F.lit(float(p))).alias(f"avg_{p}") for p in periods])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,7 +94,36 @@ def _readings(spark: SparkSession, data: str) -> DataFrame:
 
 def p4_series(spark: SparkSession, data: str) -> DataFrame:
     out = regular.regular_series(_readings(spark, data), PLACE, "day", "fatalities")
-    return out.withColumn("value", F.round("value", 6))
+    return out.drop("observed", "fitted").withColumn("value", F.round("value", 6))
+
+
+def p4_calendar(spark: SparkSession, data: str) -> DataFrame:
+    """The series without the values that the fit gives: every day, its readings and their mean, and the readings around it."""
+    s = regular.regular_series(_readings(spark, data), PLACE, "day", "fatalities")
+    return s.select(*PLACE, "on_day", "n_readings", "filled", "prev_day", "next_day", "fitted", F.when(F.col("observed"), F.round("value", 6)).alias("value"))
+
+
+def _daily(spark: SparkSession, data: str) -> DataFrame:
+    rows = _readings(spark, data).where("lat_e4 is not null and lon_e4 is not null and day is not null")
+    return regular.daily_means(rows, PLACE, "day", "fatalities")
+
+
+def p4_normal_sums(spark: SparkSession, data: str) -> DataFrame:
+    """The sums of each location's normal equations, one row each."""
+    sums = regular.normal_sums(_daily(spark, data), PLACE)
+    return sums.select(*PLACE, F.posexplode(F.concat("s", "v")).alias("k", "total")).withColumn("total", F.round("total", 5))
+
+
+def p4_fit_gradient(spark: SparkSession, data: str) -> DataFrame:
+    """What the normal equations leave at the fitted coefficients, relative to their right-hand side: 0 of every location with values."""
+    fit = regular.fit_harmonics(_daily(spark, data), PLACE).where("coef is not null")
+    size = 6
+    at = {pair: k for k, pair in enumerate((a, b) for a in range(size) for b in range(a, size))}
+    s, c, v = (lambda k, n=n: F.get(n, F.lit(k)) for n in ("s", "coef", "v"))
+    weight = sum((s(at[k, k]) for k in range(1, size)), s(0)) * F.lit(regular.RIDGE / size)
+    rows = [sum((s(at[min(a, b), max(a, b)]) * c(b) for b in range(1, size)), s(at[0, a]) * c(0)) + (weight * c(a) if a else F.lit(0.0)) - v(a) for a in range(size)]
+    scale = F.lit(1.0) + sum((F.abs(v(a)) for a in range(1, size)), F.abs(v(0)))
+    return fit.select(*PLACE, F.round(F.greatest(*[F.abs(r) for r in rows]) / scale, 6).alias("left_over"))
 
 
 def p4_found(spark: SparkSession, data: str) -> DataFrame:
@@ -113,11 +143,16 @@ def p5_clean(spark: SparkSession, data: str) -> DataFrame:
     return _checked(spark, data).clean
 
 
+def p5_counts(spark: SparkSession, data: str) -> DataFrame:
+    """Records of each origin: erroneous and clean ones add up to all."""
+    return _checked(spark, data).counts
+
+
 def p5_error_rows(spark: SparkSession, data: str) -> DataFrame:
     return malformed.error_rows(_checked(spark, data).errors)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_cell_totals, p1_lat_totals, p2_found, p2_event_cells, p3_found, p3_cell_days, p4_found, p4_series, p5_found, p5_clean, p5_error_rows)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_cell_totals, p1_lat_totals, p2_found, p2_event_cells, p3_found, p3_cell_days, p4_found, p4_series, p4_calendar, p4_normal_sums, p4_fit_gradient, p5_found, p5_clean, p5_counts, p5_error_rows)}
 
 # --- equal SQL -------------------------------------------------------------------
 
@@ -181,6 +216,20 @@ n AS (SELECT *, lead(day) OVER (PARTITION BY lat_e4, lon_e4 ORDER BY day) AS nx
 SELECT lat_e4, lon_e4, CAST(day + 1 AS VARCHAR) AS gap_first, CAST(nx - 1 AS VARCHAR) AS gap_last FROM n WHERE nx - day > {GAP_DAYS}
 """
 
+_P4_DAILY = f"""
+WITH rd AS (SELECT CAST(round(lat * 10000) AS BIGINT) AS lat_e4, CAST(round(lon * 10000) AS BIGINT) AS lon_e4, {_day_sql("event_date")} AS day, CASE WHEN fatalities >= 0 THEN fatalities END AS f FROM acled_small
+  WHERE NOT isnan(lat) AND NOT isnan(lon) AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180),
+d AS (SELECT lat_e4, lon_e4, day, count(*) AS n, avg(f) AS y, CAST(day - DATE '1970-01-01' AS INT) AS day_no FROM rd WHERE day IS NOT NULL GROUP BY ALL)"""
+_ANGLE = f"(day_no * {utm.num(2 * math.pi / regular.YEAR_DAYS)})"
+_TERMS = ("1e0", f"((day_no - first) / {utm.num(regular.YEAR_DAYS)})", f"sin({_ANGLE})", f"cos({_ANGLE})", f"sin(2e0 * {_ANGLE})", f"cos(2e0 * {_ANGLE})")
+_SUMS = [f"sum(CASE WHEN y IS NOT NULL THEN {_TERMS[a]} * {_TERMS[b]} END)" for a in range(6) for b in range(a, 6)] + [f"sum({x} * y)" for x in _TERMS]
+_P4_SUMS = f"""{_P4_DAILY}, f AS (SELECT *, min(day_no) OVER (PARTITION BY lat_e4, lon_e4) AS first FROM d), s AS (SELECT lat_e4, lon_e4, [{", ".join(_SUMS)}] AS s FROM f GROUP BY lat_e4, lon_e4)
+SELECT lat_e4, lon_e4, CAST(k AS INT) AS k, round(s[k + 1], 5) AS total FROM s, (SELECT unnest(generate_series(0, 26)) AS k)"""
+_P4_CALENDAR = f"""{_P4_DAILY}, g AS (SELECT *, lead(day) OVER (PARTITION BY lat_e4, lon_e4 ORDER BY day) AS nx, lag(day) OVER (PARTITION BY lat_e4, lon_e4 ORDER BY day) AS pv, count(y) OVER (PARTITION BY lat_e4, lon_e4) > 0 AS fitted FROM d),
+e AS (SELECT *, CAST(unnest(generate_series(day, coalesce(nx - 1, day), INTERVAL 1 DAY)) AS DATE) AS on_day FROM g)
+SELECT lat_e4, lon_e4, on_day, CASE WHEN on_day = day THEN n ELSE 0 END AS n_readings, on_day <> day AS filled, CASE WHEN on_day = day THEN pv ELSE day END AS prev_day, nx AS next_day, fitted,
+ CASE WHEN on_day = day THEN round(y, 6) END AS value FROM e"""
+
 _RAD = "2e0 * 6371008.8e0 * asin(least(1e0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
 SQL: dict[str, str] = {
@@ -199,6 +248,10 @@ WHERE abs(a.t - b.t) <= {NEAR_DAYS} AND (a.lat <> b.lat OR a.lon <> b.lon) AND {
     "p3_cell_days": _CELL_DAYS + "SELECT cell_id, on_day, total, total_7, total_30, total_7 / 7e0 AS avg_7, total_30 / 30e0 AS avg_30 FROM rolled",
     "p3_found": _CELL_DAYS + "SELECT cell_id, CAST(on_day AS VARCHAR) AS on_day FROM rolled WHERE total_30 >= 20 AND 10 * total_7 >= 7 * total_30",
     "p4_found": _P4,
+    "p4_normal_sums": _P4_SUMS,
+    "p4_fit_gradient": f"{_P4_DAILY} SELECT lat_e4, lon_e4, 0e0 AS left_over FROM d GROUP BY lat_e4, lon_e4 HAVING count(y) > 0",
+    "p4_calendar": _P4_CALENDAR,
+    "p5_counts": _RECORDS + ", n AS (SELECT 'acled_raw' AS origin, line_id AS row_key FROM u UNION ALL SELECT 'acled_small', row_id FROM acled_small), b AS (SELECT DISTINCT origin, row_key FROM errors) SELECT n.origin, count(*) AS records, count(b.row_key) AS erroneous, count(*) - count(b.row_key) AS clean FROM n LEFT JOIN b ON b.origin = n.origin AND b.row_key = n.row_key GROUP BY n.origin",
     "p5_found": _RECORDS + "SELECT origin, row_key, reason FROM errors",
     "p5_error_rows": _RECORDS + "SELECT origin, row_key, string_agg(reason, ',' ORDER BY reason) AS reasons FROM errors GROUP BY origin, row_key",
     "p5_clean": _RECORDS
