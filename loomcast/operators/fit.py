@@ -1,7 +1,7 @@
 """Maximum likelihood without an optimiser library.
 
-For fixed lag kernel and weights the intensity mu_i + alpha * x_it is linear, the Poisson likelihood concave and its Hessian an
-arrowhead: five sums a cell make a Newton step. Small panels run as arrays; large ones as one pass a step, with mu a table.
+For fixed lag kernel and weights the intensity mu_i + alpha * x_it is linear, and each cell's mu a problem of its own at a given
+alpha (see profile.py). Small panels run as arrays; large ones as one pass a step, with mu a table (here and in roadfit.py).
 Decay rates and dispersion are outer one-dimensional searches.
 """
 
@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 
 from loomcast.functions.stats import lag_kernel
 from loomcast.operators import simulate
+from loomcast.operators.profile import TINY, Cells, climb, evaluate
 from loomcast.session import materialise
 
-TINY = 1e-12
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     return np.vectorize(math.lgamma, otypes=[float])(x)
 
@@ -44,42 +42,13 @@ def history(y: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return h
 
 
-def fit_linear(y: np.ndarray, x: np.ndarray, mu: np.ndarray, alpha: float, *, scale: float = 1.0, offset: float = 0.0, dispersion: float | None = None, steps: int = 60) -> tuple[np.ndarray, float, float, dict]:
-    """mu, alpha >= 0 that maximise the likelihood of y with mean scale * (mu_i + alpha * x) + offset.
-
-    Newton steps on the arrowhead with halving; variables held at 0 leave the system while their gradient points outward. A
-    step that fails falls back to the multiplicative EM update, which never lowers the likelihood. Negative binomial: Fisher scoring.
-    """
-    mean = lambda m, a: scale * np.maximum(m[:, None] + a * x, TINY) + offset
-    best, nit, done = loglik(y, mean(mu, alpha), dispersion), 0, False
-    for nit in range(1, steps + 1):
-        lam = mean(mu, alpha)
-        grow = 1 if dispersion is None else 1 + lam / dispersion
-        r = scale * (y - lam) / (lam * grow)
-        info = scale**2 * (y / lam**2 if dispersion is None else 1 / (lam * grow))
-        g, ga = r.sum(1), float((r * x).sum())
-        d, c, b = info.sum(1) + 1e-10, (info * x).sum(1), float((info * x * x).sum()) + 1e-10
-        free, free_a = (mu > 1e-10) | (g > 0), alpha > 1e-12 or ga > 0
-        cf, df, gf = np.where(free, c, 0), d, np.where(free, g, 0)
-        da = (ga - float((cf * gf / df).sum())) / max(b - float((cf * cf / df).sum()), 1e-10) if free_a else 0.0
-        dm = np.where(free, (gf - cf * da) / df, 0)
-        gain, step = -np.inf, 1.0
-        while step > 1e-6:
-            m, a = np.maximum(mu + step * dm, 0), max(alpha + step * da, 0.0)
-            gain = loglik(y, mean(m, a), dispersion) - best
-            if gain > 0:
-                break
-            step /= 2
-        if gain <= 0:
-            lam = mean(mu, alpha)
-            ratio = scale * y / lam
-            m, a = mu * ratio.mean(1) / scale, alpha * float((ratio * x).sum()) / max(scale * float(x.sum()), TINY)
-            gain = loglik(y, mean(m, a), dispersion) - best
-        if gain <= 1e-10 * (1 + abs(best)):
-            done = True
-            break
-        mu, alpha, best = m, a, best + gain
-    return mu, float(alpha), best, {"success": done, "message": "converged" if done else "step limit reached", "nit": nit}
+def fit_linear(y: np.ndarray, x: np.ndarray, alpha: float, *, scale: float = 1.0, offset: float = 0.0, dispersion: float | None = None, steps: int = 60, tol: float = 1e-12) -> tuple[np.ndarray, float, float, dict]:
+    """mu, alpha >= 0 that maximise the likelihood of y with mean scale * (mu_i + alpha * x) + offset, by the profile over alpha."""
+    cells = Cells.of_panel(y, x)
+    a, _, done, nit = climb(lambda at: evaluate(cells, at, scale, offset, dispersion), np.array([alpha]), steps, tol)
+    mu = cells.best_mu(a, scale, offset, dispersion)[:, 0]
+    value = loglik(y, scale * np.maximum(mu[:, None] + a[0] * x, TINY) + offset, dispersion)
+    return mu, float(a[0]), value, {"success": bool(done[0]), "message": "converged" if done[0] else "step limit reached", "nit": nit}
 
 
 def search(f: Callable[[float], float], lo: float, hi: float, *, grid: int = 12, steps: int = 24) -> float:
@@ -109,7 +78,7 @@ def fit_alpha_mu(weights: np.ndarray, kernel: np.ndarray, y: np.ndarray, *, init
     x = weights @ history(y, kernel)
     mu0 = np.maximum(y.mean(1), 1e-3)
     start = loglik(y, p * (mu0[:, None] + init_alpha * x) + false_rate)
-    mu, alpha, ll, result = fit_linear(y, x, mu0, init_alpha, scale=p, offset=false_rate, steps=steps)
+    mu, alpha, ll, result = fit_linear(y, x, init_alpha, scale=p, offset=false_rate, steps=steps)
     return {"mu": mu, "alpha": alpha, "loglik": ll, "loglik_init": start, "result": result}
 
 
@@ -118,7 +87,7 @@ def fit_lag_decay(weights: np.ndarray, n_lags: int, y: np.ndarray, *, init_alpha
     mu0 = np.maximum(y.mean(1), 1e-3)
 
     def profile(beta: float) -> tuple:
-        return fit_linear(y, weights @ history(y, np.array(lag_kernel(n_lags, beta))), mu0, init_alpha, steps=30)
+        return fit_linear(y, weights @ history(y, np.array(lag_kernel(n_lags, beta))), init_alpha, steps=30)
 
     beta = search(lambda b: profile(b)[2], 1e-2, 10.0)
     mu, alpha, ll, result = profile(beta)
@@ -137,7 +106,7 @@ def fit_road(seconds: np.ndarray, kernel: np.ndarray, y: np.ndarray, *, reached:
     k, beta, out = (dispersion if nb else None), init_beta, None
     top = seconds[seconds > 0].max(initial=1.0)
     for _ in range(4 if nb else 1):
-        profile = lambda b: fit_linear(y, of(b) @ h, mu0, init_alpha, dispersion=k, steps=30)  # noqa: B023, E731
+        profile = lambda b: fit_linear(y, of(b) @ h, init_alpha, dispersion=k, steps=30)  # noqa: B023, E731
         beta = search(lambda b: profile(b)[2], 0.01 / top, 30.0 / max(seconds[seconds > 0].min(initial=top), 1e-9)) if weights is None else beta
         out = profile(beta)
         if nb:

@@ -39,15 +39,19 @@ def normal_sums(daily: DataFrame, keys: Sequence[str], *, harmonics: int = 2, pe
     """``keys, first, last, days, s, v``: each source's span, its days in order, and the sums of its normal equations.
 
     ``s`` holds the sums of products of the design's terms (upper triangle, row by row), ``v`` those with the values; both are
-    null for a source without values. ``days`` is an array of day_no, n, y: a source has a row for each calendar day at most.
+    null for a source without values. ``days`` is an array of day_no, n, y, the days read before and after (prev, next), and
+    day and mean of the last value up to the day and of the next one (p, q): a source has a row for each calendar day at most.
     """
     size, whole = 2 + 2 * harmonics, Window.partitionBy(*keys)
-    rows = daily.withColumn("first", F.min("day_no").over(whole))
+    known = F.when(F.col("y").isNotNull(), F.struct("day_no", "y"))
+    onward, back = whole.orderBy("day_no"), whole.orderBy(F.desc("day_no"))
+    rows = daily.withColumns({"q": F.last(known, True).over(back.rowsBetween(Window.unboundedPreceding, -1)), "next": F.lag("day_no").over(back)})
+    rows = rows.withColumns({"p": F.last(known, True).over(onward.rowsBetween(Window.unboundedPreceding, 0)), "prev": F.lag("day_no").over(onward), "first": F.min("day_no").over(onward.rowsBetween(Window.unboundedPreceding, 0))})
     x = _design(F.col("day_no").cast("double"), F.col("first").cast("double"), harmonics, period)
     rows = rows.withColumns({f"__x{k}": c for k, c in enumerate(x)})
     used = F.col("y").isNotNull()
     sums = [F.sum(F.when(used, F.col(f"__x{a}") * F.col(f"__x{b}"))).alias(f"__s{a}_{b}") for a, b in _terms(harmonics)] + [F.sum(F.col(f"__x{a}") * F.col("y")).alias(f"__t{a}") for a in range(size)]
-    day = F.struct("day_no", "n", "y")
+    day = F.struct("day_no", "n", "y", "prev", "next", "p", "q")
     out = rows.groupBy(*keys).agg(F.min("day_no").alias("first"), F.max("day_no").alias("last"), F.sort_array(F.collect_list(day)).alias("days"), *sums)
     return out.select(*keys, "first", "last", "days", F.array(*[f"__s{a}_{b}" for a, b in _terms(harmonics)]).alias("s"), F.array(*[f"__t{a}" for a in range(size)]).alias("v"))
 
@@ -94,21 +98,18 @@ def regular_series(readings: DataFrame, keys: Sequence[str], day: str, value: st
     """
     good = readings.where(F.expr(" and ".join(f"`{c}` is not null" for c in [*keys, day])))
     fit = fit_harmonics(daily_means(good, keys, day, value), keys, harmonics=harmonics, period=period)
+    first = F.col("first").cast("double")
+    hat = lambda at: sum((F.get("coef", F.lit(k)) * x for k, x in enumerate(_design(at.cast("double"), first, harmonics, period)[1:], 1)), F.get("coef", F.lit(0)))
+    left = lambda end: F.col(f"r.{end}.y") - hat(F.col(f"r.{end}.day_no"))
+    reads = fit.select(*keys, "first", "coef", F.explode("days").alias("r")).withColumns({"rp": left("p"), "rq": left("q")})
     # each reading's day goes on up to the day before the next one
-    until = F.transform("days", lambda r, k: F.struct(r.alias("r"), F.coalesce(F.get("days", k + 1)["day_no"] - 1, r["day_no"]).alias("until")))
-    days = fit.select(*keys, "first", "coef", F.explode(until).alias("__d")).select(*keys, "first", "coef", "__d.r", F.explode(F.sequence("__d.r.day_no", "__d.until")).alias("day_no"))
-    read = F.col("day_no") == F.col("r.day_no")
-    days = days.select(*keys, "first", "coef", "day_no", F.when(read, F.col("r.n")).otherwise(0).alias("n"), F.when(read, F.col("r.y")).alias("y"))
-    at = F.col("day_no").cast("double")
-    terms = _design(at, F.col("first").cast("double"), harmonics, period)
-    fitted = days.withColumn("yhat", sum((F.get("coef", k) * x for k, x in enumerate(terms[1:], 1)), F.get("coef", 0)))
-    before = Window.partitionBy(*keys).orderBy("day_no").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy("day_no").rowsBetween(1, Window.unboundedFollowing)
-    read, residual = F.when(F.col("n") > 0, F.col("day_no")), F.when(F.col("y").isNotNull(), F.struct(at.alias("d"), (F.col("y") - F.col("yhat")).alias("r")))
-    out = fitted.withColumns({"p": F.last(residual, True).over(before), "q": F.first(residual, True).over(after), "prev": F.last(read, True).over(before), "next": F.first(read, True).over(after)})
-    share = (at - F.col("p.d")) / (F.col("q.d") - F.col("p.d"))
-    bridge = F.coalesce(F.col("p.r") + share * (F.col("q.r") - F.col("p.r")), F.col("p.r"), F.col("q.r"))
-    return out.select(*keys, F.date_from_unix_date("day_no").alias("on_day"), F.col("n").alias("n_readings"), F.coalesce("y", F.col("yhat") + bridge).alias("value"), (F.col("n") == 0).alias("filled"), F.date_from_unix_date("prev").alias("prev_day"), F.date_from_unix_date("next").alias("next_day"), F.col("y").isNotNull().alias("observed"), F.col("coef").isNotNull().alias("fitted"))
+    days = reads.select("*", F.explode(F.sequence("r.day_no", F.coalesce(F.col("r.next") - 1, F.col("r.day_no")))).alias("day_no"))
+    read, at = F.col("day_no") == F.col("r.day_no"), F.col("day_no").cast("double")
+    share = (at - F.col("r.p.day_no")) / (F.col("r.q.day_no") - F.col("r.p.day_no"))
+    bridge = F.coalesce(F.col("rp") + share * (F.col("rq") - F.col("rp")), F.col("rp"), F.col("rq"))
+    y = F.when(read, F.col("r.y"))
+    prev = F.when(read, F.col("r.prev")).otherwise(F.col("r.day_no"))
+    return days.select(*keys, F.date_from_unix_date("day_no").alias("on_day"), F.when(read, F.col("r.n")).otherwise(0).alias("n_readings"), F.coalesce(y, hat(at) + bridge).alias("value"), (~read).alias("filled"), F.date_from_unix_date(prev).alias("prev_day"), F.date_from_unix_date("r.next").alias("next_day"), y.isNotNull().alias("observed"), F.col("coef").isNotNull().alias("fitted"))
 
 
 def gaps(series: DataFrame, keys: Sequence[str], at_least: int) -> DataFrame:

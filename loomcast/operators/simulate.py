@@ -65,6 +65,38 @@ def random_world(n: int, seed: int, lengthscale: float = 1.0, self_weight: float
     return World(xy, w)
 
 
+#: Edges, and cells times steps, that are held as arrays at most; both are counted before.
+ARRAY_EDGES, ARRAY_VALUES = 5_000_000, 50_000_000
+
+
+@dataclass(frozen=True)
+class Edges:
+    """Sparse weights of n cells: ``Edges @ h`` sums w * h[j] into i, as a matrix would. h has a row a cell."""
+
+    i: np.ndarray
+    j: np.ndarray
+    w: np.ndarray
+    n: int
+
+    def __matmul__(self, h: np.ndarray) -> np.ndarray:
+        if h.ndim == 1:
+            return np.bincount(self.i, self.w * h[self.j], self.n)
+        return np.column_stack([self @ h[:, k] for k in range(h.shape[1])]) if h.shape[1] else np.zeros((self.n, 0))
+
+    def __len__(self) -> int:
+        return self.n
+
+
+def edges_from(weights: DataFrame, cells: Sequence[int]) -> Edges:
+    """Sparse weights of a table ``i, j, w``; edges of other cells are left out. More than ARRAY_EDGES rows raise ValueError."""
+    if (rows := weights.count()) > ARRAY_EDGES:
+        raise ValueError(f"{rows} edges are more than the {ARRAY_EDGES} that are held as arrays")
+    place = pd.Series(range(len(cells)), index=list(cells))
+    t = weights.select("i", "j", "w").toPandas()
+    t = t[t["i"].isin(place.index) & t["j"].isin(place.index)]
+    return Edges(place.loc[t["i"]].to_numpy(), place.loc[t["j"]].to_numpy(), t["w"].to_numpy(float), len(cells))
+
+
 def road_weight_matrix(seconds: np.ndarray, beta: float, reached: np.ndarray | None = None) -> np.ndarray:
     """exp(-beta * seconds) where reached (by default everywhere), 1 on the diagonal."""
     if (seconds < 0).any():
@@ -86,7 +118,7 @@ def draw_negbin(rng: np.random.Generator, mean: np.ndarray, dispersion: float) -
     return rng.negative_binomial(dispersion, dispersion / (dispersion + mean + 1e-12), size=mean.shape)
 
 
-def counts(weights: np.ndarray, p: Params, n_steps: int, seed: int, family: str = "poisson", dispersion: float | None = None) -> dict[str, np.ndarray]:
+def counts(weights: np.ndarray | Edges, p: Params, n_steps: int, seed: int, family: str = "poisson", dispersion: float | None = None) -> dict[str, np.ndarray]:
     """``y_true, y_obs, intensity`` (n, n_steps) from one random stream: counts step by step, then thinning, then clutter."""
     if n_steps <= 0:
         raise ValueError("n_steps must be positive")
@@ -105,7 +137,7 @@ def _observe(rng: np.random.Generator, y: np.ndarray, p: Params) -> np.ndarray:
     return seen + (rng.poisson(p.false_rate, size=y.shape) if p.false_rate > 0 else 0)
 
 
-def simulate_seeds(spark: SparkSession, weights: np.ndarray, p: Params, n_steps: int, seeds: Sequence[int], family: str = "poisson", dispersion: float | None = None) -> DataFrame:
+def simulate_seeds(spark: SparkSession, weights: np.ndarray | Edges, p: Params, n_steps: int, seeds: Sequence[int], family: str = "poisson", dispersion: float | None = None) -> DataFrame:
     """``seed, location, time, y_true, y_obs, intensity``: a task for each seed, the same numbers for the same seed."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -121,7 +153,7 @@ def simulate_seeds(spark: SparkSession, weights: np.ndarray, p: Params, n_steps:
 _PATHS = "path int, cell int, k int, y_true bigint, y_obs bigint, intensity double"
 
 
-def predictive_paths(spark: SparkSession, weights: np.ndarray, p: Params, history: np.ndarray, horizon: int, n_paths: int, seed: int) -> DataFrame:
+def predictive_paths(spark: SparkSession, weights: np.ndarray | Edges, p: Params, history: np.ndarray, horizon: int, n_paths: int, seed: int) -> DataFrame:
     """Latent roll-forward paths, a task for a block of them. Path i draws from the stream (seed, i), so the paths don't depend on the blocks."""
     if horizon <= 0 or n_paths <= 0:
         raise ValueError("horizon and n_paths must be positive")
@@ -162,7 +194,7 @@ def _blocks(spark: SparkSession, one: Callable[[int], tuple[np.ndarray, ...]], n
     return spark.range(0, n_paths, 1, min(n_paths, 64)).mapInPandas(run, _PATHS)
 
 
-def expected_observed(weights: np.ndarray, p: Params, history: np.ndarray, horizon: int) -> np.ndarray:
+def expected_observed(weights: np.ndarray | Edges, p: Params, history: np.ndarray, horizon: int) -> np.ndarray:
     """Expected observed counts (n, horizon), each step's being the next one's history."""
     y = np.concatenate([np.asarray(history, float)[:, -len(p.kernel) :], np.zeros((len(history), horizon))], 1)
     start = y.shape[1] - horizon
@@ -182,9 +214,12 @@ def panel_of(spark: SparkSession, y: np.ndarray) -> DataFrame:
 
 
 def matrix_of(panel: DataFrame, cells: Sequence[int], n_steps: int, y: str = "y") -> np.ndarray:
-    """A dense panel as (cells, steps); for panels of checked size only."""
+    """A dense panel as (cells, steps); one of more than ARRAY_VALUES values raises ValueError."""
+    if len(cells) * n_steps > ARRAY_VALUES:
+        raise ValueError(f"{len(cells)} cells and {n_steps} steps are more than the {ARRAY_VALUES} values that are held as arrays")
     place = {c: k for k, c in enumerate(cells)}
     out = np.zeros((len(cells), n_steps))
-    for cell, t, v in panel.select("cell", "t", F.col(y)).toPandas().itertuples(index=False):
-        out[place[cell], t] = v
+    t = panel.where(F.col(y) != 0).select("cell", "t", F.col(y).alias("y")).toPandas()
+    t = t[t["cell"].isin(list(place))]
+    out[t["cell"].map(place).to_numpy(int), t["t"].to_numpy(int)] = t["y"].to_numpy(float)
     return out

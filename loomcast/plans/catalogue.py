@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from loomcast import schema
 from loomcast.functions import stats, utm
 from loomcast.functions.utm import num
-from loomcast.operators import evaluate, fit, graph, intensity, likelihood, marks, panel, poi, simulate, spatial
-from loomcast.session import table
+from loomcast.operators import evaluate, fit, graph, intensity, likelihood, marks, panel, poi, roadfit, simulate, spatial
+from loomcast.session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -590,15 +590,14 @@ def mark_contract(spark: SparkSession, data: str) -> DataFrame:
 # --- fits, simulation, workflows: random or optimised, so without SQL -------------------------
 
 
-def _dense(spark: SparkSession, data: str, y: str = "y_true") -> tuple[np.ndarray, np.ndarray]:
-    """sim_counts as arrays: the model's own small panel (a fixed number of locations)."""
+def _arrays(spark: SparkSession, data: str, y: str = "y_true") -> tuple[simulate.Edges, np.ndarray]:
+    """sim_counts and its mobility as arrays, their sizes checked; the weights stay a list of edges."""
     p = _sim_panel(spark, data, y)
+    n, steps = p.select("cell").distinct().count(), _t_next(p)
+    if n * steps > simulate.ARRAY_VALUES:
+        raise ValueError(f"{n} cells and {steps} steps are more than the {simulate.ARRAY_VALUES} values that are held as arrays")
     cells = sorted(r["cell"] for r in p.select("cell").distinct().collect())
-    w = np.zeros((len(cells), len(cells)))
-    place = {c: k for k, c in enumerate(cells)}
-    for r in _mobility(spark, data).collect():
-        w[place[r["i"]], place[r["j"]]] = r["w"]
-    return w, simulate.matrix_of(p, cells, _t_next(p))
+    return simulate.edges_from(_mobility(spark, data), cells), simulate.matrix_of(p, cells, steps)
 
 
 def _row(spark: SparkSession, f: dict) -> DataFrame:
@@ -615,22 +614,23 @@ def simulate_counts(spark: SparkSession, data: str) -> DataFrame:
 
 @query()
 def simulate_road(spark: SparkSession, data: str) -> DataFrame:
-    """Road simulation, negative binomial."""
-    w = simulate.road_weight_matrix(SECONDS, ROAD_BETA)
-    return simulate.simulate_seeds(spark, w, simulate.Params(np.array([0.6, 0.9, 0.5]), 0.35, np.array(KERNEL)), 120, range(8), "negbin", 20.0)
+    """Negative binomial simulation over the road's edges, which are never made a matrix."""
+    cells = sorted(r["cell_id"] for r in table(spark, data, "grid_cells").select("cell_id").distinct().limit(simulate.ARRAY_EDGES).collect())
+    w = simulate.edges_from(intensity.road_weights(_neighbours(spark, data), ROAD_BETA), cells)
+    return simulate.simulate_seeds(spark, w, simulate.Params(np.full(len(cells), 0.2), 0.05, np.array(KERNEL)), 60, range(8), "negbin", 20.0)
 
 
 @query()
 def predictive_paths(spark: SparkSession, data: str) -> DataFrame:
     """Latent paths beyond the simulated panel."""
-    w, y = _dense(spark, data)
+    w, y = _arrays(spark, data)
     return simulate.predictive_paths(spark, w, simulate.Params(np.full(len(w), 0.4), 0.3, np.array(KERNEL), P_DETECT, FALSE_RATE), y, HORIZON, 100, 3)
 
 
 @query()
 def fit_poisson(spark: SparkSession, data: str) -> DataFrame:
     """Mu and alpha."""
-    w, y = _dense(spark, data)
+    w, y = _arrays(spark, data)
     return _row(spark, fit.fit_alpha_mu(w, np.array(KERNEL), y))
 
 
@@ -644,14 +644,14 @@ def fit_poisson_distributed(spark: SparkSession, data: str) -> DataFrame:
 @query()
 def fit_lag_decay(spark: SparkSession, data: str) -> DataFrame:
     """With the lag kernel's decay."""
-    w, y = _dense(spark, data)
+    w, y = _arrays(spark, data)
     return _row(spark, fit.fit_lag_decay(w, 3, y))
 
 
 @query()
 def fit_observed(spark: SparkSession, data: str) -> DataFrame:
     """From observed counts."""
-    w, y = _dense(spark, data, "y_obs")
+    w, y = _arrays(spark, data, "y_obs")
     return _row(spark, fit.fit_alpha_mu(w, np.array(KERNEL), y, p=P_DETECT, false_rate=FALSE_RATE))
 
 
@@ -665,23 +665,41 @@ def fit_observation(spark: SparkSession, data: str) -> DataFrame:
 @query()
 def fit_complete(spark: SparkSession, data: str) -> DataFrame:
     """Latent fit with the exact observation likelihood."""
-    w, y = _dense(spark, data)
+    w, y = _arrays(spark, data)
     f = fit.fit_alpha_mu(w, np.array(KERNEL), y)
     obs = likelihood.observed_loglik_exact(_simulated(spark, data), P_DETECT, FALSE_RATE).first()[0]
     return spark.createDataFrame([(f["alpha"], f["loglik"], obs, f["loglik"] + obs)], "alpha double, loglik_latent double, loglik_obs_exact double, loglik_joint double")
 
 
+#: The cells' own counts of events, whose values are small whole numbers: the panel that the road model is fitted to.
+def _events(spark: SparkSession, data: str) -> DataFrame:
+    events = panel.clean_events(table(spark, data, "events_roundtrip"))
+    return panel.dense_panel(panel.counts(events), table(spark, data, "grid_cells").select(F.col("cell_id").alias("cell")))
+
+
+def _fit_row(spark: SparkSession, f: roadfit.RoadFit, *more: float) -> DataFrame:
+    names = ["alpha double", "beta double", "dispersion double", "loglik double", "converged boolean", "nll double"]
+    row = (f.alpha, f.beta, f.dispersion, f.loglik, f.converged, *more)
+    return spark.createDataFrame([row], ", ".join(names[: len(row)]))
+
+
 @query()
 def fit_road(spark: SparkSession, data: str) -> DataFrame:
-    """Road model with dispersion, on a simulated panel."""
-    y = simulate.counts(simulate.road_weight_matrix(SECONDS, ROAD_BETA), simulate.Params(np.array([0.6, 0.9, 0.5]), 0.35, np.array(KERNEL)), 180, 3, "negbin", 20.0)["y_true"]
-    return _row(spark, fit.fit_road(SECONDS, np.array(KERNEL), y, family="negbin"))
+    """Mu, alpha, road decay and dispersion over the road's edges and the panel of events, all as tables."""
+    return _fit_row(spark, roadfit.fit_road(_events(spark, data), _neighbours(spark, data), KERNEL, family="negbin"))
+
+
+@query()
+def fit_road_poisson(spark: SparkSession, data: str) -> DataFrame:
+    """The Poisson model; mu by cell."""
+    f = roadfit.fit_road(_events(spark, data), _neighbours(spark, data), KERNEL)
+    return f.mu.withColumns({"alpha": F.lit(f.alpha), "beta": F.lit(f.beta), "loglik": F.lit(f.loglik), "converged": F.lit(f.converged)})
 
 
 @query()
 def observed_workflow(spark: SparkSession, data: str) -> DataFrame:
     """Fit on observed counts, paths, summary."""
-    w, y = _dense(spark, data, "y_obs")
+    w, y = _arrays(spark, data, "y_obs")
     _, out = evaluate.observed_fit_sample_summarize(spark, simulate.World(np.zeros((len(w), 2)), w), np.array(KERNEL), y, HORIZON, 100, 0, P_DETECT, FALSE_RATE)
     return out
 
@@ -689,18 +707,17 @@ def observed_workflow(spark: SparkSession, data: str) -> DataFrame:
 @query()
 def fit_forecast(spark: SparkSession, data: str) -> DataFrame:
     """Road fit and forecast."""
-    y = simulate.counts(simulate.road_weight_matrix(SECONDS, ROAD_BETA), simulate.Params(np.array([0.6, 0.9, 0.5]), 0.35, np.array(KERNEL)), 180, 5)["y_true"]
-    _, lam = evaluate.fit_forecast_road(SECONDS, np.array(KERNEL), y, HORIZON)
-    i, k = np.indices(lam.shape)
-    return spark.createDataFrame([*zip(i.ravel().tolist(), (k + 1).ravel().tolist(), lam.ravel().tolist())], "cell int, k int, lam double")
+    p = materialise(_events(spark, data))
+    f = roadfit.fit_road(p, _neighbours(spark, data), KERNEL, beta=ROAD_BETA)
+    return roadfit.forecast(p, _neighbours(spark, data), KERNEL, f, HORIZON, _t_next(p))
 
 
 @query()
 def backtest(spark: SparkSession, data: str) -> DataFrame:
-    """Hold-out score."""
-    y = simulate.counts(simulate.road_weight_matrix(SECONDS, ROAD_BETA), simulate.Params(np.array([0.6, 0.9, 0.5]), 0.35, np.array(KERNEL)), 180, 7)["y_true"]
-    b = evaluate.backtest(SECONDS, np.array(KERNEL), y, 160, 7)
-    return spark.createDataFrame([(b["n_train"], b["horizon"], float(b["nll"]))], "n_train int, horizon int, nll double")
+    """Hold-out score of the last week."""
+    p = materialise(_events(spark, data))
+    b = roadfit.backtest(p, _neighbours(spark, data), KERNEL, _t_next(p) - 7, 7)
+    return _fit_row(spark, b["fit"], b["nll"]).withColumns({"n_train": F.lit(b["n_train"]), "horizon": F.lit(b["horizon"])})
 
 
 @query()
