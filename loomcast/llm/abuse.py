@@ -8,6 +8,7 @@ fitting the network. Thresholds are calibrated by language on labelled documents
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -31,6 +32,13 @@ LEAST_STEPS = 300
 LONGEST, OVERLAP = 40, 4
 #: Bounds before a statement: as many as keep every window within it.
 BOUNDS = max(SPANS) - 1
+#: Harmless copies of each offence's frame in a round, their weight, the evidence (log-odds) that a statement's strongest word
+#: must have, and the share of it from which a word is exchanged.
+FRAMES, FRAME_WEIGHT, FRAME_EVIDENCE, FRAME_SHARE = 1, 1.0, 2.0, 0.6
+#: How strongly a language's offset is drawn towards the shared one: as by so many doubtful cases.
+OFFSET_PULL = 2.0
+#: Share of labels taken to be wrong in the calibration.
+DOUBT = 0.03
 
 # Digits and signs written for letters.
 LEET = str.maketrans("013457@$", "oieastas")
@@ -127,6 +135,7 @@ class Model:
     known_skel: np.ndarray
     vocabulary: frozenset = frozenset()
     thresholds: dict[str, float] = field(default_factory=dict)
+    cases: dict[str, tuple[int, int]] = field(default_factory=dict)
 
     def ids(self, word: str) -> tuple[int, int]:
         a, b = _bucket(word, 1), _bucket(skeleton(word), 2)
@@ -248,7 +257,8 @@ def train(texts: Sequence[str], labels: Sequence[str], langs: Sequence[str], *,
     m.vocabulary = _mark_known(m, [docs[k] for k in fit])
     usual, suspect = _common(docs, fit, target)
     clean = [list(s) for s in {tuple(s): None for k in fit if target[k] < 0 for s in docs[k]} if s not in suspect]
-    first = _first_choice(docs, fit, target)
+    odds = _evidence(docs, fit, target)
+    first = _first_choice(docs, fit, target, odds)
     chosen = [x for own in first.values() for x in own]
     for r in range(rounds):
         often: dict[tuple, int] = {}
@@ -265,12 +275,15 @@ def train(texts: Sequence[str], labels: Sequence[str], langs: Sequence[str], *,
             likely = np.empty(0, np.int64)
         draw = rng.permutation(len(clean))[: max(12000, 12 * len(pos))]
         neg = [clean[k] for k in np.unique(np.concatenate([likely, draw]).astype(np.int64))]
+        frames = [f for _ in range(FRAMES) for f in _frames(pos, odds, clean, rng)]
+        neg += frames
         a, b = _arrays(m, [s for s, _ in pos] + neg)
         y = np.zeros((len(a), len(CLASSES)), np.float32)
         y[np.arange(len(pos)), [c for _, c in pos]] = 1
         weight = np.ones(len(a), np.float32)
         # a statement met in the same words many times counts for more, up to a bound
         weight[: len(pos)] = min(4.0, max(1.0, 0.1 * len(neg) / max(1, len(pos)))) * np.minimum(8, [*often.values()])
+        weight[len(a) - len(frames) :] = FRAME_WEIGHT
         _fit(m, a, b, y, weight, rng, max(epochs, -(-LEAST_STEPS * 128 // len(a))))
         chosen = _next_choice(m, docs, fit, target, first, doubt=r > 0)
     _calibrate(m, docs, target, held, langs)
@@ -325,9 +338,28 @@ def _terms(words: Sequence[str]) -> list:
     return [*words, *zip(bones, bones[1:])]
 
 
-def _first_choice(docs: Sequence, fit: Sequence[int], target: np.ndarray) -> dict[int, list[tuple]]:
+def _frames(pos: Sequence[tuple], odds: list[dict], clean: Sequence[Sequence[str]], rng: np.random.Generator) -> list[list[str]]:
+    """Harmless statements in the frames of offences: their telling words exchanged for words of clean ones.
+
+    Telling are the words whose evidence comes near the statement's strongest. Frames such as "I hope you all" occur in the
+    labelled offences alone, and would else be taken for the offence.
+    """
+    out = []
+    for s, c in pos:
+        own = np.array([odds[c].get(w, 0.0) for w in s])
+        if own.max() > FRAME_EVIDENCE and clean:
+            telling = own >= FRAME_SHARE * own.max()
+            out.append([_draw(clean, rng) if x else w for w, x in zip(s, telling)])
+    return out
+
+
+def _draw(clean: Sequence[Sequence[str]], rng: np.random.Generator) -> str:
+    s = clean[rng.integers(len(clean))]
+    return s[rng.integers(len(s))]
+
+
+def _first_choice(docs: Sequence, fit: Sequence[int], target: np.ndarray, odds: list[dict]) -> dict[int, list[tuple]]:
     """By document, the statements of most evidence for its label."""
-    odds = _evidence(docs, fit, target)
     out = {}
     for k in fit:
         if (c := int(target[k])) >= 0 and docs[k]:
@@ -352,21 +384,45 @@ def _next_choice(m: Model, docs: Sequence, fit: Sequence[int], target: np.ndarra
     return out
 
 
+def _logit(p: np.ndarray) -> np.ndarray:
+    """Bounded, as scores near 0 and 1 differ in nothing but training time."""
+    q = np.clip(p.astype(float), 2.5e-3, 1 - 2.5e-3)
+    return np.log(q / (1 - q))
+
+
 def _calibrate(m: Model, docs: Sequence, target: np.ndarray, held: np.ndarray, langs: Sequence[str]) -> None:
-    """By language the threshold of best F1 over held-out documents, drawn towards the one of all languages when cases are few."""
+    """Threshold of each language from a logistic regression of held-out labels on the logit of the score.
+
+    The slope is shared; a language's offset is drawn towards the shared one, the more the fewer cases it has. The threshold
+    is where the calibrated probability is one half. ``cases``: held-out documents and offending ones by language.
+    """
     rows = np.flatnonzero(held)
-    score = np.array([_statement_scores(m, docs[k]).max() if docs[k] else 0.0 for k in rows])
+    z = _logit(np.array([_statement_scores(m, docs[k]).max() if docs[k] else 0.0 for k in rows]))
     truth, lang = target[rows] >= 0, np.array([langs[k] for k in rows], object)
-
-    def best(s: np.ndarray, y: np.ndarray, prior: float) -> float:
-        grid = np.linspace(0.05, 0.95, 37)
-        f1 = np.array([2 * (y & (s >= g)).sum() / max(1, y.sum() + (s >= g).sum()) for g in grid])
-        good = grid[f1 >= f1.max() - 1e-9]
-        own = float(good[np.abs(good - prior).argmin()])  # of equal ones the nearest to the prior
-        return prior + (own - prior) * y.sum() / (y.sum() + 20)
-
-    overall = best(score, truth, 0.5) if truth.any() else 0.5
-    m.thresholds = {"": overall} | {x: best(score[lang == x], truth[lang == x], overall) for x in sorted(set(lang.tolist())) if x and truth[lang == x].any()}
+    names = sorted({x for x in lang.tolist() if x and truth[lang == x].any()})
+    m.cases = {x: (int((lang == x).sum()), int(truth[lang == x].sum())) for x in sorted(set(lang.tolist()))}
+    if not truth.any() or truth.all():
+        m.thresholds = {"": 0.5}
+        return
+    x = np.column_stack([z, np.ones(len(z)), *[(lang == n).astype(float) for n in names]])
+    # drawn towards slope 1 and offset 0
+    pull = np.array([OFFSET_PULL / 10, OFFSET_PULL / 10, *[OFFSET_PULL] * len(names)])
+    start = np.array([1.0, 0.0, *[0.0] * len(names)])
+    # some labels are wrong, so none is taken as certain
+    y = np.where(truth, 1 - DOUBT, DOUBT)
+    cost = lambda w: float(np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.5 * pull @ (w - start) ** 2)
+    w, now = start.copy(), cost(start)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (y - p) - pull * (w - start))
+        while (lower := cost(w + step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        if now - lower < 1e-10:
+            break
+        w, now = w + step, lower
+    slope = max(w[0], 0.05)
+    at = lambda offset: float(1 / (1 + np.exp(np.clip(offset / slope, -12, 12))))
+    m.thresholds = {"": at(w[1])} | {n: at(w[1] + w[2 + k]) for k, n in enumerate(names)}
 
 
 # --- scoring --------------------------------------------------------------------
@@ -496,6 +552,19 @@ def language(c: Column) -> Column:
     return F.coalesce(long[code], F.substring(code, 1, 2))
 
 
+#: Models fitted in this session by the content of their sample, so that the queries share one fit; the last few are kept.
+_FITTED: dict[str, Model] = {}
+
+
+def _fitted(texts: list[str], labels: list[str], langs: list[str]) -> Model:
+    key = hashlib.sha256(repr((texts, labels, langs)).encode("utf-8", "surrogatepass")).hexdigest()
+    if key not in _FITTED:
+        while len(_FITTED) >= 2:
+            _FITTED.pop(next(iter(_FITTED)))
+        _FITTED[key] = train(texts, labels, langs)
+    return _FITTED[key]
+
+
 def fit_model(documents: DataFrame, labels: DataFrame, *, sample: int = TRAIN_DOCUMENTS) -> Model:
     """Model of at most ``sample`` labelled documents, chosen by a hash of the id. Judgements that disagree, unknown and null labels are left out."""
     label = F.lower(F.btrim("label"))
@@ -504,7 +573,7 @@ def fit_model(documents: DataFrame, labels: DataFrame, *, sample: int = TRAIN_DO
     ids = documents.sparkSession.createDataFrame(chosen.toPandas(), "doc_id bigint, lab string")
     rows = documents.where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lab", language(F.col("lang")).alias("lang")).toPandas()
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    return train(rows["text"].tolist(), rows["lab"].tolist(), rows["lang"].tolist())
+    return _fitted(rows["text"].tolist(), rows["lab"].tolist(), rows["lang"].tolist())
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
