@@ -41,13 +41,18 @@ def _cell_id(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {"cell_id": spatial.point_to_cell(point, grid.shape).first()["cell"]}
 
 
+def _loaded(held: events.Loaded) -> dict:
+    return _summary(held.panel) | {"mobility_nnz": held.mobility.count(), "mobility_source": held.mobility_source}
+
+
 def _load_counts(spark: SparkSession, a: argparse.Namespace) -> dict:
-    return _summary(events.read_count_matrix(spark, simulation.config_from_json(CountsConfig, a.config).path))
+    c = simulation.config_from_json(CountsConfig, a.config)
+    return _loaded(events.load_counts(spark, c.path, c.mobility_path))
 
 
 def _load_events(spark: SparkSession, a: argparse.Namespace) -> dict:
     c = simulation.config_from_json(CountsConfig, a.config)
-    return _summary(events.load_event_panel(spark, c.path, c.value)) | {"value": c.value}
+    return _loaded(events.load_events(spark, c.path, c.value, c.mobility_path)) | {"value": c.value}
 
 
 def _ingest(spark: SparkSession, a: argparse.Namespace) -> dict:

@@ -85,20 +85,26 @@ def evaluate(c: Cells, alpha: np.ndarray, scale: float, offset: float, k: float
 
 
 def climb(at: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], alpha: np.ndarray, steps: int, tol: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(alpha, value, converged, passes) of each rate: scoring steps kept within the bracket that the slopes' signs leave."""
+    """(alpha, value, converged, passes) of each rate: a scoring step, then secant steps, kept within the bracket that the slopes' signs leave."""
     rates = len(alpha)
     lo, hi, done, value = np.zeros(rates), np.full(rates, np.inf), np.zeros(rates, bool), np.full(rates, -np.inf)
-    best, used = alpha.copy(), 0
+    best, used, before = alpha.copy(), 0, None
     for used in range(1, steps + 1):
         now, slope, info = at(alpha)
         info = np.maximum(info, 1e-10)
+        curve = info
+        if before is not None:
+            moved = np.where(alpha == before[0], 1.0, alpha - before[0])
+            secant = np.where(alpha == before[0], 0.0, (before[1] - slope) / moved)
+            curve = np.where(secant > 0.05 * info, secant, info)
+        before = alpha, slope
         better = now > value
         best, value = np.where(better, alpha, best), np.where(better, now, value)
         done |= ((alpha <= 0) & (slope <= 0)) | (slope**2 / info <= 2 * tol * (1 + np.abs(now))) | (hi - lo <= 1e-9 * (1e-6 + lo))
         if done.all():
             break
         lo, hi = np.where(slope > 0, np.maximum(lo, alpha), lo), np.where(slope > 0, hi, np.minimum(hi, alpha))
-        step = alpha + slope / info
+        step = alpha + slope / curve
         middle = np.where(np.isfinite(hi), (lo + np.where(np.isfinite(hi), hi, 0)) / 2, 2 * alpha + 0.1)
         # zero itself may be the maximum
         step = np.where((step <= 0) & (lo == 0), np.where(alpha > 1e-6, alpha / 8, 0.0), np.where((step > lo) & (step < hi), step, middle))

@@ -22,8 +22,8 @@ from loomcast.session import materialise
 
 #: Locations in a leaf, about; a leaf is one task of known size, however dense the place.
 LEAF_POINTS = 50_000
-#: Locations sampled to place the cuts; the sample's size doesn't grow with the data.
-SAMPLE_POINTS = 100_000
+#: Locations sampled to place the cuts at least, and for each leaf (16 bytes a location).
+SAMPLE_POINTS, SAMPLE_A_LEAF = 100_000, 8
 #: Regions' triangles up to this count are sent to every task (72 bytes each, 18 MB at most).
 SENT_TRIANGLES = 250_000
 EARTH_RADIUS_M = 6371008.8
@@ -86,6 +86,29 @@ def triangulate(regions: DataFrame) -> DataFrame:
     return regions.where("region_id is not null").select("region_id", "xs", "ys").mapInPandas(cut, f"region_id long, {_TRIANGLE}")
 
 
+def broken_regions(regions: DataFrame) -> DataFrame:
+    """``region_id, area, covered``: polygons that triangles don't cover to a millionth, as their edges cross or a corner isn't finite.
+
+    Both areas are in square units of the coordinates; ``area`` is null where a corner isn't finite or the arrays differ in length.
+    """
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, x, y in zip(b["region_id"], b["xs"], b["ys"]):
+                if x is None or y is None or len(x) != len(y) or not (np.isfinite(x).all() and np.isfinite(y).all()):
+                    out.append((i, None, 0.0))
+                    continue
+                t = ear_clip(x, y)
+                area = abs(float((np.roll(x, 1) * y - x * np.roll(y, 1)).sum())) / 2 if len(x) else 0.0
+                covered = float(np.abs((t[:, 2] - t[:, 0]) * (t[:, 5] - t[:, 1]) - (t[:, 3] - t[:, 1]) * (t[:, 4] - t[:, 0])).sum()) / 2
+                if abs(area - covered) > 1e-6 * max(area, covered):
+                    out.append((i, area, covered))
+            yield pd.DataFrame(out, columns=["region_id", "area", "covered"]).astype({"area": float})
+
+    return regions.where("region_id is not null").select("region_id", "xs", "ys").mapInPandas(measure, "region_id long, area double, covered double")
+
+
 # --- bounding-volume hierarchy -----------------------------------------------
 
 
@@ -163,7 +186,7 @@ class Cuts:
     """Median cuts of a sample of points into 2^depth leaves that cover the whole plane; a pure function of the sample."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, leaves: int) -> None:
-        self.depth = min(16, max(0, math.ceil(math.log2(max(1, leaves)))))
+        self.depth = max(0, math.ceil(math.log2(max(1, leaves))))
         self.at = np.zeros((1 << self.depth) - 1)
         self.axis = np.zeros((1 << self.depth) - 1, np.int8)
         parts = [np.column_stack([x, y])]
@@ -192,15 +215,17 @@ def _cuts(points: DataFrame, n: int, most: int) -> Cuts:
     """Cuts for ``n`` points of which at most ``most`` meet at once; without a sample where one leaf will do."""
     if most <= LEAF_POINTS:
         return Cuts(np.empty(0), np.empty(0), 1)
-    sample = points if n <= SAMPLE_POINTS else points.sample(min(1.0, 0.9 * SAMPLE_POINTS / n), seed=7)
-    rows = sample.select("x", "y").limit(SAMPLE_POINTS).toPandas().drop_duplicates()
-    return Cuts(rows["x"].to_numpy(), rows["y"].to_numpy(), math.ceil(most / LEAF_POINTS))
+    leaves = math.ceil(most / LEAF_POINTS)
+    size = max(SAMPLE_POINTS, SAMPLE_A_LEAF * leaves)
+    sample = points if n <= size else points.sample(min(1.0, 0.9 * size / n), seed=7)
+    rows = sample.select("x", "y").limit(size).toPandas().drop_duplicates()
+    return Cuts(rows["x"].to_numpy(), rows["y"].to_numpy(), leaves)
 
 
 # --- region of each point --------------------------------------------------------
 
 
-def region_of_points(points: DataFrame, regions: DataFrame, x: str = "x", y: str = "y", *, out: str = "region_id") -> DataFrame:
+def region_of_points(points: DataFrame, regions: DataFrame, x: str = "x", y: str = "y", *, out: str = "region_id", sent: int = SENT_TRIANGLES) -> DataFrame:
     """``points`` with a column ``out``: the region that holds the point (closed regions), or null.
 
     ``regions``: ``region_id, xs, ys``. A point on the shared edge of several regions gets the greatest id, which on
@@ -208,12 +233,12 @@ def region_of_points(points: DataFrame, regions: DataFrame, x: str = "x", y: str
     infinite get null. Columns of ``points`` are kept as they are; a column named like ``out`` is replaced.
     Without regions every point gets null.
 
-    Regions of up to SENT_TRIANGLES triangles (counted first) go to every task as one hierarchy, without any shuffle;
+    Regions of up to ``sent`` triangles (counted first) go to every task as one hierarchy, without any shuffle;
     beyond, points and triangles meet leaf by leaf.
     """
     points = points.drop(out)
     tri = materialise(triangulate(regions))
-    if tri.count() <= SENT_TRIANGLES:
+    if tri.count() <= sent:
         rows = tri.toPandas()
         ids, corners = rows["region_id"].to_numpy(), rows[["ax", "ay", "bx", "by", "cx", "cy"]].to_numpy()
         sent = points.sparkSession.sparkContext.broadcast((ids, corners))
@@ -297,6 +322,21 @@ def great_circle_m(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: n
     return 2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(a)))
 
 
+#: Candidate pairs of a task that are held at once, or a single site's partners if these are more.
+PAIRS_AT_ONCE = 20_000_000
+
+
+def _densest(lon: np.ndarray, lat: np.ndarray, metres: float, radius: float) -> int:
+    """Sites in the fullest nine tiles of a lattice as wide as the distance (in latitude): a bound on a site's partners away from the poles."""
+    if not len(lat):
+        return 0
+    step = math.degrees(metres / radius) or 1.0
+    row = np.floor(lat / step).astype(np.int64)
+    column = np.floor(lon / (step / max(1e-3, math.cos(math.radians(min(89.9, float(np.abs(lat).max()))))))).astype(np.int64)
+    _, n = np.unique(row * 4_000_000_007 + column, return_counts=True)
+    return int(9 * n.max())
+
+
 _PAIR = "lat_a double, lon_a double, day_a int, lat_b double, lon_b double, day_b int"
 
 
@@ -332,22 +372,22 @@ def near_sites(sites: DataFrame, metres: float, days: int, *, radius: float = EA
                 r, p = row[at], first[row[at]] + k
                 yield pd.DataFrame({"leaf": leaf[at], "period": p, "lat": lat[r], "lon": lon[r], "day": day[r], "shift": shift[at], "home": (leaf[at] == home[r]) & (shift[at] == 0) & (p == own[r])})
 
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
+    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = pd.concat([*parts])
         lat, lon, day, home, shift = (part[c].to_numpy() for c in ("lat", "lon", "day", "home", "shift"))
         w, s, e, n = _enclosing(lat, lon, metres, radius)
         tree = Hierarchy(_box_triangles(w + shift, s, e + shift, n))
         at = np.flatnonzero(home)
-        found = [np.empty(0, np.int64)]
-        for p, t in tree.stab(lon[at], lat[at]):
+        # a block of homes at a time goes out, so that dense places never have all their pairs in memory
+        for p, t in tree.stab(lon[at], lat[at], max(1, PAIRS_AT_ONCE // max(1, _densest(lon[at], lat[at], metres, radius)))):
             b, a = at[p], t // len(_UNIT)
             ok = ((lat[a] < lat[b]) | ((lat[a] == lat[b]) & (lon[a] < lon[b]))) & (np.abs(day[a] - day[b]) <= days)
             a, b = a[ok], b[ok]
             ok = great_circle_m(lat[a], lon[a], lat[b], lon[b], radius) <= metres
             # a point on the edge that two triangles of one polygon share belongs to it once
-            found.append(np.unique(a[ok] * len(lat) + b[ok]))
-        a, b = np.divmod(np.concatenate(found), max(1, len(lat)))
-        out = pd.DataFrame({"lat_a": lat[a], "lon_a": lon[a], "day_a": day[a], "lat_b": lat[b], "lon_b": lon[b], "day_b": day[b]})
-        return out.drop_duplicates() if shift.any() else out
+            a, b = np.divmod(np.unique(a[ok] * len(lat) + b[ok]), max(1, len(lat)))
+            out = pd.DataFrame({"lat_a": lat[a], "lon_a": lon[a], "day_a": day[a], "lat_b": lat[b], "lon_b": lon[b], "day_b": day[b]})
+            yield out.drop_duplicates() if shift.any() else out
 
     placed = sites.select("lat", "lon", "day").mapInPandas(spread, "leaf int, period int, lat double, lon double, day int, shift double, home boolean")
     return placed.groupBy("leaf", "period").applyInPandas(meet, _PAIR)
@@ -375,6 +415,25 @@ def close_pairs(events: DataFrame, metres: float, days: int, *, id_col: str = "e
     return joined.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b")).distinct()
 
 
+def site_links(events: DataFrame, metres: float, days: int, *, id_col: str = "event_id", lat: str = "lat", lon: str = "lon", day: str = "t", radius: float = EARTH_RADIUS_M) -> DataFrame:
+    """``lat, lon, day, events, near_sites, near_events``: classes of events at one place and day, with their links to other classes.
+
+    The same closeness as ``close_pairs``, without expanding copies into pairs: a row a class (none left out), its number of
+    different events, of other classes within reach, and of their events. An event that lies in several classes counts in each.
+    """
+    good = events.where(F.col(id_col).isNotNull() & F.col(day).isNotNull() & F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180))
+    good = good.select(F.col(id_col).alias("id"), (F.col(lat) + F.lit(0.0)).alias("lat"), (F.col(lon) + F.lit(0.0)).alias("lon"), F.unix_date(F.col(day).cast("date")).alias("day"))
+    site = ["lat", "lon", "day"]
+    classes = materialise(good.distinct().groupBy(*site).agg(F.count(F.lit(1)).alias("events")))
+    pairs = materialise(near_sites(classes.select(*site), metres, days, radius=radius, rows=good))
+    end = lambda own, other: pairs.select(*[F.col(f"{c}_{own}").alias(c) for c in site], *[F.col(f"{c}_{other}").alias(f"{c}_o") for c in site])
+    both = end("a", "b").unionByName(end("b", "a"))
+    size = classes.select(*[F.col(c).alias(f"{c}_o") for c in site], F.col("events").alias("n"))
+    links = both.join(size, [f"{c}_o" for c in site]).groupBy(*site).agg(F.count(F.lit(1)).alias("near_sites"), F.sum("n").alias("near_events"))
+    out = classes.join(links, site, "left")
+    return out.select("lat", "lon", F.date_from_unix_date("day").alias("day"), "events", F.coalesce("near_sites", F.lit(0)).alias("near_sites"), F.coalesce("near_events", F.lit(0)).alias("near_events"))
+
+
 def valid_position(lat: str = "lat", lon: str = "lon") -> Column:
     """In range, not NaN, not both zero."""
     return F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180) & ~((F.col(lat) == 0) & (F.col(lon) == 0))

@@ -99,11 +99,11 @@ once AS (SELECT min(cell_id) AS cell, min(t) AS day, min(value) AS value FROM go
 cnt AS (SELECT cell, day, CAST(sum(value) AS BIGINT) AS y FROM once GROUP BY cell, day),
 span AS (SELECT min(day) AS lo, max(day) AS hi FROM cnt),
 days AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM span),
-panel AS (SELECT g.cell_id AS cell, CAST(d.day - s.lo AS INT) AS t, coalesce(c.y, 0) AS y FROM grid_cells g CROSS JOIN days d CROSS JOIN span s LEFT JOIN cnt c ON c.cell = g.cell_id AND c.day = d.day)"""
+panel AS MATERIALIZED (SELECT g.cell_id AS cell, CAST(d.day - s.lo AS INT) AS t, coalesce(c.y, 0) AS y FROM grid_cells g CROSS JOIN days d CROSS JOIN span s LEFT JOIN cnt c ON c.cell = g.cell_id AND c.day = d.day)"""
 _HIST = " + ".join(f"{num(g)} * coalesce(lag(y, {k}) OVER w, 0)" for k, g in enumerate(KERNEL, 1))
 _W = f"""nb AS (SELECT i, j, exp(-{num(ROAD_BETA)} * travel_time_s) AS w FROM road_neighbours WHERE i <> j UNION ALL SELECT i, i, 1e0 FROM (SELECT i FROM road_neighbours UNION SELECT j FROM road_neighbours))"""
-_ROAD = f"""{_PANEL}, h AS (SELECT cell, t, y, {_HIST} AS h FROM panel WINDOW w AS (PARTITION BY cell ORDER BY t)), {_W},
-ex AS (SELECT nb.i AS cell, h.t, sum(nb.w * h.h) AS x FROM nb JOIN h ON nb.j = h.cell GROUP BY nb.i, h.t),
+_ROAD = f"""{_PANEL}, h AS MATERIALIZED (SELECT cell, t, y, {_HIST} AS h FROM panel WINDOW w AS (PARTITION BY cell ORDER BY t)), {_W},
+ex AS (SELECT nb.i AS cell, h.t, sum(nb.w * h.h) AS x FROM nb JOIN h ON nb.j = h.cell WHERE h.h <> 0 GROUP BY nb.i, h.t),
 lam AS (SELECT h.cell, h.t, h.y, h.h, coalesce(ex.x, 0) AS x, greatest({MU_SQL.replace("cell", "h.cell")} + {num(ALPHA)} * coalesce(ex.x, 0), 0) AS lam FROM h LEFT JOIN ex ON ex.cell = h.cell AND ex.t = h.t)"""
 _SIM = """WITH sim AS (SELECT l.location, s.time, coalesce(v.y_true, 0) AS y_true, coalesce(v.y_obs, 0) AS y_obs
   FROM (SELECT DISTINCT location FROM sim_counts WHERE location IS NOT NULL) l CROSS JOIN (SELECT unnest(generate_series(0, max(time))) AS time FROM sim_counts) s
@@ -734,3 +734,86 @@ def parameter_recovery(spark: SparkSession, data: str) -> DataFrame:
     return fit.recover_seeds(spark, SECONDS, p, ROAD_BETA, 180, (3, 5, 7, 11, 13))
 
 
+
+
+# --- what fits and simulations must satisfy, which SQL can state ---------------------------------
+
+
+def _optimal(rows: DataFrame, mu: DataFrame, alpha: float) -> DataFrame:
+    """``cell, optimal``: whether each cell's slope vanishes (or points below a mu of 0), and alpha's likewise as cell -1; rows: ``cell, y, x``."""
+    lam = F.greatest(F.col("mu") + F.lit(alpha) * F.col("x"), F.lit(1e-12))
+    r = rows.join(mu, "cell").withColumn("r", F.col("y") / lam - 1)
+    flat = lambda slope, at, scale: F.when(at > 1e-9, F.abs(slope) <= 1e-5 * scale).otherwise(slope <= 1e-5 * scale)
+    cells = r.groupBy("cell").agg(F.sum("r").alias("s"), F.max("mu").alias("mu"), F.count(F.lit(1)).alias("n")).select("cell", flat(F.col("s"), F.col("mu"), F.col("n") + F.lit(1e3) * F.col("mu")).alias("optimal"))
+    whole = r.agg(F.sum(F.col("r") * F.col("x")).alias("s"), F.sum("x").alias("x")).select(F.lit(-1).alias("cell"), flat(F.col("s"), F.lit(alpha), F.col("x") + 1).alias("optimal"))
+    return cells.unionByName(whole)
+
+
+_OPTIMAL = "SELECT cell_id AS cell, true AS optimal FROM grid_cells UNION ALL SELECT -1, true"
+
+
+@query(_OPTIMAL)
+def fit_poisson_optimal(spark: SparkSession, data: str) -> DataFrame:
+    """At the fitted mu and alpha no slope is left, computed anew from the panel."""
+    rows = materialise(_road(spark, data).select("cell", "y", "x"))
+    f = fit.fit_distributed(rows)
+    return _optimal(rows, f["mu"], f["alpha"])
+
+
+@query(_OPTIMAL)
+def fit_road_optimal(spark: SparkSession, data: str) -> DataFrame:
+    """The same of the road fit at a given decay, from intensities computed another way."""
+    p = materialise(_events(spark, data))
+    f = roadfit.fit_road(p, _neighbours(spark, data), KERNEL, beta=ROAD_BETA, tol=1e-13)
+    rows = intensity.in_sample(p, intensity.road_weights(_neighbours(spark, data), ROAD_BETA), KERNEL, F.lit(0.0), 1.0)
+    return _optimal(rows.select("cell", "y", "x"), f.mu, f.alpha)
+
+
+@query("SELECT true AS is_maximum")
+def fit_observation_maximum(spark: SparkSession, data: str) -> DataFrame:
+    """No step of a hundredth in detection or clutter gains likelihood, computed anew from the panel."""
+    rows = materialise(_simulated(spark, data))
+    f = fit.fit_observation(rows)
+    p, c = f["p_detect"], f["false_rate"]
+    at = lambda p, c: likelihood.observed_loglik_exact(rows, min(p, 1.0), c).first()[0]
+    top = at(p, c)
+    return spark.createDataFrame([(all(at(p * a, c * b) <= top + 1e-6 * abs(top) for a, b in ((1.01, 1), (0.99, 1), (1, 1.01), (1, 0.99))),)], "is_maximum boolean")
+
+
+def _plausible(rows: DataFrame, spread: Column) -> Column:
+    """Counts within six deviations of their intensities' sum."""
+    return F.abs(F.sum(F.col("y_true") - F.col("intensity"))) <= 6 * F.sqrt(F.sum(spread))
+
+
+@query("SELECT CAST(unnest(generate_series(0, 7)) AS BIGINT) AS seed, CAST(300 AS BIGINT) AS n, true AS plausible, true AS thinned")
+def simulate_counts_checks(spark: SparkSession, data: str) -> DataFrame:
+    """Cells times steps rows a seed, counts near their intensities, observations near what detection and clutter leave."""
+    seen = F.col("y_obs") - F.lit(P_DETECT) * F.col("y_true") - F.lit(FALSE_RATE)
+    near = F.abs(F.sum(seen)) <= 6 * F.sqrt(F.sum(F.lit(P_DETECT * (1 - P_DETECT)) * F.col("y_true") + F.lit(FALSE_RATE)))
+    rows = simulate_counts(spark, data)
+    return rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), _plausible(rows, F.col("intensity")).alias("plausible"), near.alias("thinned"))
+
+
+@query("SELECT CAST(s.seed AS BIGINT) AS seed, count(*) * 60 AS n, true AS plausible FROM grid_cells, (SELECT unnest(generate_series(0, 7)) AS seed) s GROUP BY 1")
+def simulate_road_checks(spark: SparkSession, data: str) -> DataFrame:
+    """The same of the negative binomial simulation over the road, whose variance exceeds its mean."""
+    rows = simulate_road(spark, data)
+    lam = F.col("intensity")
+    return rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), _plausible(rows, lam + lam * lam / 20.0).alias("plausible"))
+
+
+@query(f"SELECT CAST(k AS INT) AS k, count(DISTINCT location) * 100 AS n, true AS plausible FROM sim_counts, (SELECT unnest(generate_series(1, {HORIZON})) AS k) WHERE location IS NOT NULL GROUP BY 1")
+def predictive_paths_checks(spark: SparkSession, data: str) -> DataFrame:
+    """Cells times paths rows a step, counts near their intensities."""
+    rows = predictive_paths(spark, data)
+    return rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), _plausible(rows, F.col("intensity")).alias("plausible"))
+
+
+@query("SELECT true AS medians, true AS most_seeds, true AS gains")
+def recovery_gates(spark: SparkSession, data: str) -> DataFrame:
+    """The accuracy asked of five seeds: medians of the errors, four of five within wider bounds, likelihood above the start's."""
+    errors = ("mu_mae", "alpha_err", "beta_err")
+    rows = parameter_recovery(spark, data)
+    medians = [F.percentile(c, F.lit(0.5)) <= b for c, b in zip(errors, (0.25, 0.15, 6e-4))]
+    wide = [F.col(c) <= b for c, b in zip(errors, (0.35, 0.22, 9e-4))]
+    return rows.agg((medians[0] & medians[1] & medians[2]).alias("medians"), (F.count_if(wide[0] & wide[1] & wide[2]) >= 4).alias("most_seeds"), F.every(F.col("loglik") >= F.col("loglik_init") - 1e-6).alias("gains"))

@@ -51,20 +51,37 @@ def grid_polygons(cells: DataFrame) -> DataFrame:
     return xy.select(F.col("cell_id").cast("bigint").alias("region_id"), F.array(w, e, e, w).alias("xs"), F.array(s, s, n, n).alias("ys"))
 
 
-def p2_event_cells(spark: SparkSession, data: str) -> DataFrame:
-    """Every event row with the cell that contains its position, beside the cell it came with."""
+def _event_cells(spark: SparkSession, data: str, **options: int) -> DataFrame:
     events = table(spark, data, "events_roundtrip").select("event_id", "t", "cell_id", "lat", "lon")
     usable = proximity.valid_position()
     events = events.withColumns({"la": F.when(usable, F.col("lat")), "lo": F.when(usable, F.col("lon"))})
     xy = utm.apply(events, utm.forward("lo", "la", GRID_ZONE), ["u_x", "u_y"])
-    out = proximity.region_of_points(xy, grid_polygons(table(spark, data, "grid_cells")), "u_x", "u_y", out="in_cell")
+    out = proximity.region_of_points(xy, grid_polygons(table(spark, data, "grid_cells")), "u_x", "u_y", out="in_cell", **options)
     return out.select("event_id", "t", "cell_id", F.col("in_cell").cast("int").alias("in_cell"))
 
 
-def p2_found(spark: SparkSession, data: str) -> DataFrame:
+def p2_event_cells(spark: SparkSession, data: str) -> DataFrame:
+    """Every event row with the cell that contains its position, beside the cell it came with."""
+    return _event_cells(spark, data)
+
+
+def p2_event_cells_by_leaf(spark: SparkSession, data: str) -> DataFrame:
+    """The same by the way taken for more regions than go to every task: points and triangles meet leaf by leaf."""
+    return _event_cells(spark, data, sent=0)
+
+
+def _usable(spark: SparkSession, data: str) -> DataFrame:
     events = table(spark, data, "events_roundtrip").select("event_id", "t", "lat", "lon")
-    good = events.where(F.col("event_id").isNotNull() & (F.col("t") != F.expr(EPOCH)) & proximity.valid_position())
-    return proximity.close_pairs(good, NEAR_M, NEAR_DAYS)
+    return events.where(F.col("event_id").isNotNull() & (F.col("t") != F.expr(EPOCH)) & proximity.valid_position())
+
+
+def p2_found(spark: SparkSession, data: str) -> DataFrame:
+    return proximity.close_pairs(_usable(spark, data), NEAR_M, NEAR_DAYS)
+
+
+def p2_site_links(spark: SparkSession, data: str) -> DataFrame:
+    """A row for each place and day: its events, and its links to others within reach."""
+    return proximity.site_links(_usable(spark, data), NEAR_M, NEAR_DAYS)
 
 
 def _cell_days(spark: SparkSession, data: str) -> DataFrame:
@@ -152,7 +169,7 @@ def p5_error_rows(spark: SparkSession, data: str) -> DataFrame:
     return malformed.error_rows(_checked(spark, data).errors)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_cell_totals, p1_lat_totals, p2_found, p2_event_cells, p3_found, p3_cell_days, p4_found, p4_series, p4_calendar, p4_normal_sums, p4_fit_gradient, p5_found, p5_clean, p5_counts, p5_error_rows)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_cell_totals, p1_lat_totals, p2_found, p2_site_links, p2_event_cells, p2_event_cells_by_leaf, p3_found, p3_cell_days, p4_found, p4_series, p4_calendar, p4_normal_sums, p4_fit_gradient, p5_found, p5_clean, p5_counts, p5_error_rows)}
 
 # --- equal SQL -------------------------------------------------------------------
 
@@ -240,6 +257,12 @@ SELECT 'events_roundtrip' AS table_name, CAST(cell_id AS BIGINT) AS key_id FROM
 UNION ALL SELECT 'acled_small', {_LAT} AS k FROM acled_small WHERE {_LAT} IS NOT NULL GROUP BY k HAVING count(*) >= {HEAVY_KEY_SHARE} * (SELECT count(*) FROM acled_small)""",
     "p2_event_cells": f"""
 SELECT event_id, t, cell_id, CAST(CASE WHEN u_x >= 402500 AND u_x < 602500 AND u_y >= 5205000 AND u_y < 5355000 THEN floor((u_y - 5205000) / 5000) * 40 + floor((u_x - 402500) / 5000) END AS INT) AS in_cell FROM {_EVENTS_XY}""",
+    "p2_site_links": f"""
+WITH s AS (SELECT lat + 0e0 AS lat, lon + 0e0 AS lon, t, count(DISTINCT event_id) AS n FROM events_roundtrip WHERE event_id IS NOT NULL AND t <> DATE '1970-01-01' AND {_OK} GROUP BY ALL),
+k AS (SELECT *, CAST(floor(lat / 0.001) AS BIGINT) AS gy FROM s), o AS (SELECT unnest([-1, 0, 1]) AS dy), kb AS (SELECT k.*, gy + dy AS gj FROM k, o),
+l AS (SELECT a.lat, a.lon, a.t, count(*) AS near_sites, CAST(sum(b.n) AS BIGINT) AS near_events FROM k a JOIN kb b ON a.gy = b.gj
+ WHERE abs(a.t - b.t) <= {NEAR_DAYS} AND (a.lat <> b.lat OR a.lon <> b.lon) AND {_RAD} <= {NEAR_M} GROUP BY ALL)
+SELECT s.lat, s.lon, s.t AS day, s.n AS events, coalesce(near_sites, 0) AS near_sites, coalesce(near_events, 0) AS near_events FROM s LEFT JOIN l USING (lat, lon, t)""",
     "p2_found": f"""
 WITH e AS (SELECT event_id, min(t) AS t, min(lat) AS lat, min(lon) AS lon FROM events_roundtrip WHERE event_id IS NOT NULL AND t <> DATE '1970-01-01' AND {_OK} GROUP BY event_id),
 k AS (SELECT *, CAST(floor(lat / 0.001) AS BIGINT) AS gy FROM e), o AS (SELECT unnest([-1, 0, 1]) AS dy), kb AS (SELECT k.*, gy + dy AS gj FROM k, o)
@@ -259,3 +282,4 @@ WHERE abs(a.t - b.t) <= {NEAR_DAYS} AND (a.lat <> b.lat OR a.lon <> b.lon) AND {
  max(CASE WHEN "column" = 'lon' THEN number END) AS lon, CAST(max(CASE WHEN "column" = 'fatalities' THEN number END) AS BIGINT) AS fatalities
  FROM judged j WHERE NOT EXISTS (SELECT 1 FROM errors e WHERE e.origin = j.origin AND e.row_key = j.row_key) GROUP BY origin, row_key""",
 }
+SQL["p2_event_cells_by_leaf"] = SQL["p2_event_cells"]

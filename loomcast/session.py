@@ -36,10 +36,13 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where no folder is named (local tests) is a temporary one set. Blocks survive the loss of any executor.
+    Only a local session (tests) gets a temporary one where none is named; on a cluster, whose executors don't share such a
+    folder, that raises RuntimeError. Blocks survive the loss of any executor.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomcast-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -5,17 +5,17 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import shutil
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcast.functions import utm
 from loomcast.operators import graph, poi, spatial
+from loomcast.sources import files
+from loomcast.sources.files import lines_hash, remove, write_text
 from loomcast.sources.graph import from_network, read_graphml, read_pois
 
 VERSION = 1
@@ -56,28 +56,21 @@ def content_hash(df: DataFrame) -> str:
     return hashlib.sha256("\0".join([",".join(sorted(df.columns)), *map(str, row)]).encode()).hexdigest()
 
 
-def file_hash(path: str) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while part := f.read(1 << 20):
-            h.update(part)
-    return h.hexdigest()
-
-
 def created_at() -> str:
     """SOURCE_DATE_EPOCH, or 1970, so that bundles of equal content are equal."""
     return datetime.fromtimestamp(int(os.environ.get("SOURCE_DATE_EPOCH", "0")), UTC).isoformat()
 
 
 def build(spark: SparkSession, config: SubstrateConfig) -> Substrate:
-    """Load the bundle if the cache holds one made from the same configuration, else build and keep it."""
-    key = hashlib.sha256(json.dumps(asdict(config), sort_keys=True, default=list).encode()).hexdigest()
-    if config.cache_dir and exists(config.cache_dir):
+    """Load the bundle if the cache holds one made from the same configuration and content of its files, else build and keep it."""
+    if config.graphml_path is None:
+        from_network()
+    sources = {p: lines_hash(spark, p) for p in (config.graphml_path, config.poi_path) if p}
+    key = hashlib.sha256(json.dumps([asdict(config), sources], sort_keys=True, default=list).encode()).hexdigest()
+    if config.cache_dir and exists(spark, config.cache_dir):
         held = load(spark, config.cache_dir)
         if held.meta["config_sha256"] == key:
             return held
-    if config.graphml_path is None:
-        from_network()
     nodes, edges = read_graphml(spark, config.graphml_path)
     shape = spatial.grid_of_nodes(nodes, config.cell_size_m)
     cells = spatial.grid_cells(spark, shape)
@@ -91,7 +84,7 @@ def build(spark: SparkSession, config: SubstrateConfig) -> Substrate:
         placed = spatial.nearest_cell(read_pois(spark, config.poi_path, tuple(dict.fromkeys(tags))), shape)
         ids = cells.select(F.col("cell_id").alias("cell"))
         features = poi.poi_features(placed, ids, neighbours if config.poi_travel_time_features else None, config.poi_tags, config.max_travel_time_s)
-    out = Substrate(cells, neighbours, features, shape, {"config_sha256": key, "config": asdict(config)})
+    out = Substrate(cells, neighbours, features, shape, {"config_sha256": key, "config": asdict(config), "provenance_sha256": sources})
     if config.cache_dir:
         save(out, config.cache_dir, nodes, edges)
         return load(spark, config.cache_dir)
@@ -100,27 +93,26 @@ def build(spark: SparkSession, config: SubstrateConfig) -> Substrate:
 
 def save(s: Substrate, path: str, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
     """Parquet folders and ``meta.json`` with the hashes; whatever the folder held of an earlier bundle is removed first."""
-    root = Path(path)
-    root.mkdir(parents=True, exist_ok=True)
+    spark = s.grid.sparkSession
     for name in PARTS:
-        shutil.rmtree(root / name, ignore_errors=True)
+        remove(spark, f"{path}/{name}")
     hashes = {}
     for name, df, order in (("grid", s.grid, ["cell_id"]), ("neighbours", s.neighbours, ["i", "j"]), ("poi", s.poi, ["cell"]), ("graph_nodes", nodes, ["node"]), ("graph_edges", edges, ["u", "v"])):
         if df is not None:
-            df.repartition(1).sortWithinPartitions(*order).write.mode("overwrite").parquet(str(root / name))
-            hashes[name] = content_hash(df.sparkSession.read.parquet(str(root / name)))
+            df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{name}")
+            hashes[name] = content_hash(spark.read.parquet(f"{path}/{name}"))
     whole = hashlib.sha256("".join(f"{n}\0{h}\0" for n, h in sorted(hashes.items())).encode()).hexdigest()
     meta = {"version": VERSION, "created_at": created_at(), "shape": asdict(s.shape), "files": hashes, "bundle_sha256": whole, **s.meta}
-    (root / "meta.json").write_text(json.dumps(meta, sort_keys=True, default=list))
+    write_text(spark, f"{path}/meta.json", json.dumps(meta, sort_keys=True, default=list))
 
 
-def exists(path: str) -> bool:
-    return all((Path(path) / p).exists() for p in ("meta.json", "grid", "neighbours"))
+def exists(spark: SparkSession, path: str) -> bool:
+    return all(files.exists(spark, f"{path}/{p}") for p in ("meta.json", "grid", "neighbours"))
 
 
 def load(spark: SparkSession, path: str) -> Substrate:
-    meta = json.loads((Path(path) / "meta.json").read_text())
+    meta = json.loads(files.read_bytes(spark, f"{path}/meta.json"))
     if meta["version"] != VERSION:
         raise ValueError(f"bundle version {meta['version']} isn't {VERSION}")
-    read = lambda name: spark.read.parquet(str(Path(path) / name))
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
     return Substrate(read("grid"), read("neighbours"), read("poi") if "poi" in meta["files"] else None, spatial.GridShape(**meta["shape"]), meta)

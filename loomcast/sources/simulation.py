@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from loomcast.operators import panel
+from loomcast.sources import files
 
 SCHEMA_NAME = "long-v1"
 
@@ -16,15 +17,14 @@ SCHEMA_NAME = "long-v1"
 def save_simulation(rows: DataFrame, path: str, world: dict, params: dict) -> None:
     """``location, time, y_true, y_obs`` as Parquet; world and parameters as JSON in ``_meta.json`` (floats round-trip exactly)."""
     rows.select("location", "time", "y_true", "y_obs").sortWithinPartitions("location", "time").write.mode("overwrite").parquet(path)
-    Path(path, "_meta.json").write_text(json.dumps({"schema": SCHEMA_NAME, "world": world, "params": params}, sort_keys=True))
+    files.write_text(rows.sparkSession, f"{path}/_meta.json", json.dumps({"schema": SCHEMA_NAME, "world": world, "params": params}, sort_keys=True))
 
 
 def load_simulation(spark: SparkSession, path: str) -> tuple[DataFrame, dict, dict]:
     """Dense ``location, time, y_true, y_obs`` (absent pairs 0), world, parameters."""
-    meta = Path(path, "_meta.json")
-    if not meta.exists():
+    if not files.exists(spark, f"{path}/_meta.json"):
         raise ValueError("the simulation has no world and params")
-    held = json.loads(meta.read_text())
+    held = json.loads(files.read_bytes(spark, f"{path}/_meta.json"))
     return panel.densify_simulation(spark.read.parquet(path)), held["world"], held["params"]
 
 

@@ -116,3 +116,54 @@ def test_ordinals(spark):
     df = spark.createDataFrame([(k * 37 % 101, "x") for k in range(101)], "k int, s string")
     assert {r["n"]: r["k"] for r in panel.with_ordinal(df, ["k"], "n").collect()} == {k: k for k in range(101)}
     assert panel.with_ordinal(df.where("k > 500"), ["k"], "n").count() == 0
+
+
+def test_kinds_of_values_are_checked(spark, tmp_path):
+    odd = [
+        ({"lat": 1, "lon": 2, "meta": {"t": 5, "value": 3}}, None),
+        ({**A, "meta": None, "mark": None, "cell_id": None, "event_id": None}, None),
+        ({**A, "lat": " 51.5 ", "value": "7"}, None),
+        ({**A, "cell_id": "abc"}, "cell_id"),
+        ({**A, "cell_id": 1.7}, "cell_id"),
+        ({**A, "mark": 7}, "mark"),
+        ({**A, "event_id": 7}, "event_id"),
+        ({**A, "t": None}, "t"),
+        ({**A, "value": None}, "value"),
+        ({**A, "meta": [1]}, "meta"),
+    ]
+    path = _write(tmp_path, *[x for x, _ in odd])
+    rows = events.read_events_jsonl(spark, path).orderBy("line_no").collect()
+    assert [(r["line_no"], r["error"]) for r in rows] == [(k, e) for k, (_, e) in enumerate(odd, 1)]
+    assert rows[0]["t"] == dt.date(1970, 1, 1) and rows[0]["value"] == 1 and rows[1]["meta_json"] is None and rows[2]["value"] == 7
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    lines = [json.dumps({**A, "event_id": f"e{k}"}) if k % 7 else "" for k in range(1, 400)]
+    lines[250] = "broken"
+    path = _write(tmp_path, *lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = events.read_events_jsonl(spark, path).collect()
+        assert len(rows) == sum(x != "" for x in lines)
+        assert all(lines[r["line_no"] - 1] == r["line"] for r in rows)
+        with pytest.raises(ValueError, match="on line 251"):
+            events.ingest_jsonl(spark, path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_mobility_of_the_loaders(spark, tmp_path):
+    (tmp_path / "y_obs.csv").write_text("0,1,0,2\n3,0,0,1\n")
+    one = events.load_counts(spark, str(tmp_path))
+    assert one.mobility_source == "identity" and {tuple(r) for r in one.mobility.collect()} == {(0, 0, 1.0), (1, 1, 1.0)}
+    np.save(tmp_path / "mobility.npy", np.array([[1.0, 0.1], [0.2, 1.0]]))
+    two = events.load_counts(spark, str(tmp_path))
+    assert two.mobility_source.endswith("mobility.npy") and two.mobility.count() == 4
+    with pytest.raises(FileNotFoundError):
+        events.load_counts(spark, str(tmp_path), str(tmp_path / "none.npy"))
+    p = tmp_path / "e.csv"
+    p.write_text("event_date,lat,lon,fatalities\n2020-01-01,1,2,0\n2020-01-02,9,8,2\n")
+    assert events.load_events(spark, str(p), "events", str(tmp_path / "mobility.npy")).mobility.count() == 4
+    with pytest.raises(FileNotFoundError):
+        events.load_counts(spark, str(tmp_path / "nowhere"))
