@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcast.functions import stats
+from loomcast.session import materialise
 
 #: Cells up to which a recurrence runs as arrays on the driver (an L-deep buffer and the edges); counted before.
 DRIVER_CELLS = 100_000
@@ -69,8 +70,11 @@ def intensity_column(mu: Column, alpha: float, x: Column) -> Column:
 
 
 def in_sample(panel: DataFrame, weights: DataFrame, kernel: Sequence[float], mu: Column, alpha: float) -> DataFrame:
-    """``cell, t, y, h, x, lam`` over a dense panel: one window pass, one join, no recursion. ``mu`` may use ``cell``."""
-    hist = lag_convolution(panel, kernel)
+    """``cell, t, y, h, x, lam`` over a dense panel: one window pass, one join, no recursion. ``mu`` may use ``cell``.
+
+    The history is written once, as both sides of the join read it.
+    """
+    hist = materialise(lag_convolution(panel, kernel))
     return excitation(weights, hist, hist).withColumn("lam", intensity_column(mu, alpha, F.col("x")))
 
 
@@ -117,8 +121,6 @@ def roll_forward(panel: DataFrame, weights: DataFrame, kernel: Sequence[float],
             buffer[:, deep + k] = lam
             out += zip(cells.tolist(), [k + 1] * len(cells), lam.tolist())
         return panel.sparkSession.createDataFrame(out, "cell int, k int, lam double")
-    from loomcast.session import materialise
-
     buffer, steps = recent, None
     for k in range(horizon):
         h = lag_convolution_next(buffer, kernel, t_next + k)

@@ -10,14 +10,8 @@ from pyspark.sql import functions as F
 
 def tag_features(tags: Mapping[str, object] | None) -> list[tuple[str, str | None]]:
     """(key, value or None) in sorted order: True asks for a key's presence, a list for each of its values; others are ignored."""
-    out: list[tuple[str, str | None]] = []
-    for key in sorted(tags or {}, key=str):
-        value = tags[key]
-        if value is True:
-            out.append((str(key), None))
-        elif isinstance(value, (list, tuple, set)):
-            out += [(str(key), str(v)) for v in sorted(value, key=str)]
-    return out
+    asked = {str(k): [None] if v is True else [*map(str, v)] for k, v in (tags or {}).items() if v is True or isinstance(v, (list, tuple, set))}
+    return sorted(((k, v) for k, values in asked.items() for v in values), key=lambda kv: (kv[0], kv[1] or ""))
 
 
 def tag_filter(key: str, value: str | None) -> Column:
