@@ -37,6 +37,8 @@ BOUNDS = max(SPANS) - 1
 FRAMES, FRAME_WEIGHT, FRAME_EVIDENCE, FRAME_SHARE = 1, 1.0, 2.0, 0.6
 #: How strongly a language's offset is drawn towards the shared one: as by so many doubtful cases.
 OFFSET_PULL = 2.0
+#: One in so many labelled texts is kept out of the fit, for the calibration.
+HELD_OUT = 10
 #: Share of labels taken to be wrong in the calibration.
 DOUBT = 0.03
 
@@ -240,7 +242,7 @@ def _statement_scores(m: Model, parts: Sequence[Sequence[str]], batch: int = 512
 
 
 def train(texts: Sequence[str], labels: Sequence[str], langs: Sequence[str], *, seed: int = 5, rounds: int = 4, epochs: int = 4) -> Model:
-    """Fit on documents with one label each (``none`` or a class) and calibrate on every fifth of them.
+    """Fit on documents with one label each (``none`` or a class) and calibrate on one in HELD_OUT of them.
 
     A statement's first score is the evidence of its words: their log-odds between documents of a class and clean ones.
     With no labels at all, or none of a class, that class is never predicted.
@@ -248,7 +250,7 @@ def train(texts: Sequence[str], labels: Sequence[str], langs: Sequence[str], *,
     rng = np.random.default_rng(seed)
     docs = [statements(t) for t in texts]
     target = np.array([CLASSES.index(x) if x in CLASSES else -1 for x in labels], np.int64)
-    held = np.array([xxhash.xxh32_intdigest(t, 9) % 5 == 0 for t in texts], bool)  # copies of a text stay on one side
+    held = np.array([xxhash.xxh32_intdigest(t, 9) % HELD_OUT == 0 for t in texts], bool)  # copies of a text stay on one side
     m = _new_model(rng)
     fit = [k for k in range(len(docs)) if not held[k]]
     if not any(target[k] >= 0 for k in fit):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from loomcast.llm import abuse as A
@@ -100,3 +101,34 @@ def test_tables(spark, pages):
     assert rates[None]["documents"] + rates["big"]["documents"] == len(rows)
     assert rates["big"]["flagged"] == out[(out.source == "big")].flagged.sum()
     assert A.score_documents(docs.where("doc_id > 5000"), A.fit_model(docs, labels.where("doc_id > 99999"))).count() == 0
+
+
+def test_frames_keep_no_telling_word():
+    odds = [{"worthless": 6.0, "idiot": 5.0, "you": 2.0}, {}, {}]
+    clean = [["garden", "river"], ["market"]]
+    got = A._frames([(["you", "are", "a", "worthless", "idiot"], 0), (["nothing", "telling"], 0)], odds, clean, np.random.default_rng(0))
+    assert len(got) == 1 and got[0][:3] == ["you", "are", "a"] and set(got[0][3:]) <= {"garden", "river", "market"}
+    assert A._frames([(["you", "idiot"], 0)], odds, [], np.random.default_rng(0)) == []
+
+
+def test_thresholds_follow_the_held_out_cases(monkeypatch):
+    """A language whose offences score lower gets a lower threshold; one without cases the shared one."""
+    rng = np.random.default_rng(1)
+    langs = ["en"] * 200 + ["es"] * 200 + ["xx"] * 20
+    truth = np.array([k % 2 for k in range(420)])
+    truth[400:] = 0
+    p = np.where(truth == 1, np.where(np.array(langs) == "es", 0.45, 0.9), 0.05) + rng.uniform(-0.04, 0.04, 420)
+    monkeypatch.setattr(A, "_statement_scores", lambda m, d: np.array([[d]]))
+    m = A._new_model(rng)
+    A._calibrate(m, p.tolist(), truth - 1, np.ones(420, bool), langs)
+    t = m.thresholds
+    assert 0.09 < t["es"] < 0.41 and t["es"] < t["en"] < 0.86 and "xx" not in t and 0.09 < t[""] < 0.86
+    assert m.cases == {"en": (200, 100), "es": (200, 100), "xx": (20, 0)}
+
+
+def test_one_fit_for_equal_samples(monkeypatch):
+    calls = []
+    monkeypatch.setattr(A, "train", lambda *a: calls.append(a) or object())
+    monkeypatch.setattr(A, "_FITTED", {})
+    a = A._fitted(["x"], ["none"], ["en"])
+    assert A._fitted(["x"], ["none"], ["en"]) is a and A._fitted(["y"], ["none"], ["en"]) is not a and len(calls) == 2
