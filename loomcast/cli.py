@@ -15,7 +15,7 @@ import loomcast
 from loomcast.functions.stats import lag_kernel
 from loomcast.operators import evaluate, fit, simulate, spatial
 from loomcast.session import local_session
-from loomcast.sources import bundle, events, simulation
+from loomcast.sources import bundle, events, grids, simulation
 
 
 @dataclass(frozen=True)
@@ -36,9 +36,8 @@ def _substrate(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 
 def _cell_id(spark: SparkSession, a: argparse.Namespace) -> dict:
-    grid = bundle.load(spark, a.grid)
     point = spark.createDataFrame([(a.lon, a.lat)], "lon double, lat double")
-    return {"cell_id": spatial.point_to_cell(point, grid.shape).first()["cell"]}
+    return {"cell_id": spatial.point_to_cell(point, grids.load_shape(spark, a.grid)).first()["cell"]}
 
 
 def _loaded(held: events.Loaded) -> dict:

@@ -252,7 +252,7 @@ def test_commands(spark, tmp_path, capsys):
         return capsys.readouterr().out.strip().splitlines()[-1]
 
     assert run("version") == "0.1.0"
-    assert json.loads(run("data", "counts-load", "--config", str(tmp_path / "c.json"))) == {"n_locations": 2, "n_steps": 4, "total": 7}
+    assert json.loads(run("data", "counts-load", "--config", str(tmp_path / "c.json"))) == {"n_locations": 2, "n_steps": 4, "total": 7, "mobility_nnz": 2, "mobility_source": "identity"}
     for name in ("fit-kernel", "fit-observed"):
         f = json.loads(run("sim", name, "--parquet", str(tmp_path / "s")))
         assert f["loglik"] >= f["loglik_init"] - 1e-6 and "success" in f

@@ -99,3 +99,26 @@ def test_close_pairs_equal_brute_force(spark, monkeypatch):
     want = _brute(rows, 30.0, 2)
     assert len(want) > 300 and set(got) == want and len(got) == len(want)
     assert px.close_pairs(df.where("lat > 1000"), 30.0, 2).count() == 0
+
+
+def test_broken_polygons_are_reported(spark):
+    shapes = [(1, [0.0, 2.0, 2.0, 0.0], [0.0, 0.0, 2.0, 2.0]), (2, [0.0, 2.0, 0.0, 3.0], [0.0, 2.0, 2.0, 0.0]), (3, [0.0, float("nan"), 1.0], [0.0, 0.0, 1.0]), (4, [], []), (5, None, [1.0]), (None, [0.0], [0.0])]
+    rows = spark.createDataFrame(shapes, "region_id bigint, xs array<double>, ys array<double>")
+    assert {r["region_id"] for r in px.broken_regions(rows).collect()} == {2, 3, 5}
+
+
+def test_site_links_equal_pairs(spark):
+    rng = random.Random(4)
+    day = dt.date(2024, 1, 1)
+    rows = [(rng.choice([None, *(f"e{k}" for k in range(60))]), 50 + rng.randrange(4) * 2e-4, 2 + rng.randrange(4) * 2e-4, rng.choice([None, *(day + dt.timedelta(k) for k in range(5))])) for _ in range(150)]
+    df = spark.createDataFrame(rows, "event_id string, lat double, lon double, t date")
+    got = {(r["lat"], r["lon"], r["day"]): (r["events"], r["near_sites"], r["near_events"]) for r in px.site_links(df, 30.0, 2).collect()}
+    sites = {}
+    for i, la, lo, t in rows:
+        if i is not None and t is not None:
+            sites.setdefault((la, lo, t), set()).add(i)
+    want = {}
+    for (la, lo, t), own in sites.items():
+        near = [o for (a, b, u), o in sites.items() if (a, b) != (la, lo) and abs((u - t).days) <= 2 and float(px.great_circle_m(np.array(la), np.array(lo), np.array(a), np.array(b))) <= 30]
+        want[la, lo, t] = (len(own), len(near), sum(map(len, near)))
+    assert got == want and px.site_links(df.where("lat > 80"), 30.0, 2).count() == 0
