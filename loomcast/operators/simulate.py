@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class World:
-    """Locations ``xy`` (n, 2) and dense weights (n, n): weights[i, j] is what j contributes to i."""
+    """Locations ``xy`` (n, 2) and weights (n, n), dense or as edges: weights[i, j] is what j contributes to i."""
 
     xy: np.ndarray
-    weights: np.ndarray
+    weights: np.ndarray | Edges
 
     def __post_init__(self) -> None:
         n = len(self.xy)
-        if self.weights.shape != (n, n) or not np.isfinite(self.weights).all():
+        values = self.weights.w if isinstance(self.weights, Edges) else self.weights
+        if self.weights.shape != (n, n) or not np.isfinite(values).all():
             raise ValueError("weights must be a finite square matrix of the locations")
 
     def to_dict(self) -> dict:
@@ -83,6 +84,10 @@ class Edges:
             return np.bincount(self.i, self.w * h[self.j], self.n)
         return np.column_stack([self @ h[:, k] for k in range(h.shape[1])]) if h.shape[1] else np.zeros((self.n, 0))
 
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.n, self.n
+
     def __len__(self) -> int:
         return self.n
 

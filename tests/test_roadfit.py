@@ -88,6 +88,7 @@ def test_sparse_weights_equal_a_matrix(spark, monkeypatch):
     e = simulate.edges_from(intensity.road_weights(_edges(spark, ROAD), 1.2e-3), [0, 1, 2])
     h = np.random.default_rng(0).random((3, 5))
     assert np.allclose(e @ h, w @ h) and np.allclose(e @ h[:, 0], w @ h[:, 0]) and len(e) == 3
+    assert simulate.World(np.zeros((3, 2)), e).weights.shape == (3, 3)
     p = simulate.Params(np.array([0.6, 0.9, 0.5]), 0.35, G)
     assert (simulate.counts(e, p, 50, 1)["y_true"] == simulate.counts(w, p, 50, 1)["y_true"]).all()
     monkeypatch.setattr(simulate, "ARRAY_EDGES", 5)
