@@ -38,7 +38,7 @@ FRAMES, FRAME_WEIGHT, FRAME_EVIDENCE, FRAME_SHARE = 1, 1.0, 2.0, 0.6
 #: How strongly a language's offset is drawn towards the shared one: as by so many doubtful cases.
 OFFSET_PULL = 2.0
 #: One in so many labelled texts is kept out of the fit, for the calibration.
-HELD_OUT = 10
+HELD_OUT = 5
 #: Share of labels taken to be wrong in the calibration.
 DOUBT = 0.03
 
